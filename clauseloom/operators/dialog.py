@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import text as X
 from clauseloom.operators.ordered import row_index, running, with_totals
 from clauseloom.operators.sampling import draw, seeded
+from clauseloom.session import cut_lineage
 
 BLOCK = 65536
 
@@ -353,7 +354,8 @@ def triple_ids_v2(eligible: DataFrame, seed: str, block: int = BLOCK) -> DataFra
     from a seeded start: at most k+1 of them are the anchor and its positives, so k remain. The
     work is proportional to the number of pairs; draws of one anchor are neighbours in the shuffled
     order. Pairs whose meeting has too few other clauses for this get no row."""
-    pairs = adjacent_pairs(eligible, block)
+    # Read three times below: a narrow table of ids, written once.
+    pairs = cut_lineage(adjacent_pairs(eligible, block))
     mixed = eligible.select("meeting", "id", seeded(seed, "meeting", "id").alias("h"))
     placed = row_index(mixed, ["meeting"], [F.substring("h", 1, 3)], ["h", "id"], "place").select("meeting", "place", F.col("id").alias("other"))
     sizes = eligible.groupBy("meeting").agg(F.count("*").alias("n"))
@@ -391,10 +393,12 @@ def triple_ids_v3(discussions: DataFrame, seed: str, longer_than: int = 10, bloc
     positives = asked.filter((F.col("speaker_name") == F.col("questioner")) & long_enough).select(*where, F.col("id").alias("positive"))
     answering = asked.filter(F.col("speaker_name") != F.col("questioner")).select(*where, "speaker_name", "id", long_enough.alias("fits"))
     placed = row_index(answering, where, [F.col("speaker_name"), *block_of("id", block)], ["id"], "place").withColumn("place", F.col("place") - 1)
+    # Read four times below: a narrow table of ids, written once.
+    placed = cut_lineage(placed)
     runs = placed.groupBy(*where, "speaker_name").agg(F.min("place").alias("run"), F.count("*").alias("size"))
     pools = runs.groupBy(*where).agg(F.sum("size").alias("total"))
     anchors = (
-        answering.filter("fits")
+        placed.filter("fits")
         .join(runs.join(pools, where), [*where, "speaker_name"])
         .filter(F.col("total") > F.col("size"))
         .select(*where, F.col("id").alias("anchor"), "run", "size", "total")
@@ -421,6 +425,12 @@ def anchor_pos_neg(examples: DataFrame) -> DataFrame:
     )
 
 
+def numbered_triples(ids: DataFrame, order: Sequence[str], block: Sequence[Column]) -> DataFrame:
+    """Add ``number``, the 0-based place in the given order over all triples. Numbering the narrow
+    id table before any text is attached keeps texts out of the shuffle."""
+    return row_index(ids, [], block, order, "number").withColumn("number", F.col("number") - 1)
+
+
 def sentence_registry(examples: DataFrame, order: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Distinct sentences with string ids in first-seen order, and the id pairs of the first two
     texts of every example. ``order`` is a numeric column of unique example numbers.
@@ -438,3 +448,20 @@ def sentence_registry(examples: DataFrame, order: str, block: int = BLOCK) -> tu
         .select("at", "id1", "id2")
     )
     return sentences, pairs
+
+
+def union_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Vertical concatenation by column name."""
+    out = first
+    for other in others:
+        out = out.unionByName(other)
+    return out
+
+
+def distinct_values(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    return rows.select(*keys, column).distinct()
+
+
+def sort_by_id(rows: DataFrame) -> DataFrame:
+    """Final order of an export: a range sort over (meeting, id)."""
+    return rows.orderBy("meeting", "id")

@@ -17,6 +17,7 @@ from clauseloom.functions import text as X
 from clauseloom.operators import dialog as D
 from clauseloom.operators.ordered import row_index, running
 from clauseloom.plans.registry import part
+from clauseloom.session import staged
 
 CHAIR = ("system",)
 # Letters whose shares make up a text's profile vector.
@@ -36,8 +37,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """meeting, id, speaker_name, utterance, label, turn."""
-    return D.clauses_from_turns(turns(spark, sf_dir), X.CLAUSE_END_WESTERN)
+    """meeting, id, speaker_name, utterance, label, turn; a table of its own, as most queries use it."""
+    return staged(spark, sf_dir, "clauses", lambda: D.clauses_from_turns(turns(spark, sf_dir), X.CLAUSE_END_WESTERN))
 
 
 CLAUSE_RE = f"[^{X.CLAUSE_END_WESTERN}]+[{X.CLAUSE_END_WESTERN}]?"
@@ -68,6 +69,10 @@ part(
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "digest", lambda: make_digest(spark, sf_dir))
+
+
+def make_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """meeting, id, speaker_name, utterance, kind: per user turn a title (the whole text), then the
     turn's clauses; an assistant turn gives reply clauses, a system turn one summary."""
     role = F.col("speaker_name")
@@ -152,6 +157,10 @@ part(
 
 
 def event_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "event_clauses", lambda: make_event_clauses(spark, sf_dir))
+
+
+def make_event_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as clauses: meeting = user, id = place in time, speaker = type, text = type and props."""
     named = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("meeting"),
@@ -177,7 +186,8 @@ part(
 
 
 def event_discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.segment_discussions(event_clauses(spark, sf_dir), F.col("speaker_name") == "error", ())
+    rows = event_clauses(spark, sf_dir)
+    return staged(spark, sf_dir, "event_discussions", lambda: D.segment_discussions(rows, F.col("speaker_name") == "error", ()))
 
 
 part(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A relation that several queries start from, written once per application and source folder
+    and read from there afterwards, with the reader's pushdown and column pruning."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _STAGED:
+        df = build()
+        path = new_path(spark, name)
+        df.write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
