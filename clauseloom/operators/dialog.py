@@ -239,6 +239,7 @@ def digest_clause_table(digest: DataFrame, block: int = BLOCK) -> DataFrame:
         "speaker_name",
         F.col("utterance").alias("clause"),
         "kind",
+        "section",
     )
 
 

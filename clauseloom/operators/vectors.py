@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions import vectors as V
@@ -134,7 +134,7 @@ def topk_by_metric(metrics: DataFrame, n: int = 5, digits: int | None = None) ->
     if digits is not None:
         long = long.withColumns({"sort_key": F.round("sort_key", digits), "value": F.round("value", digits)})
     kept = long.filter((F.col("metric") == METRICS[0]) | (F.col("value") != 0.0))
-    return top_rows(kept, ["meeting", "title_id", "metric"], [F.col("sort_key"), F.col("clause_id")], n).drop("sort_key")
+    return top_rows(kept, ["meeting", "title_id", "metric"], [F.col("sort_key").asc_nulls_last(), F.col("clause_id")], n).drop("sort_key")
 
 
 def clause_in_topk(truth: DataFrame, top: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def title_top_clauses(titles: DataFrame, clauses: DataFrame, n: int = 5, dim: in
             )
         ).alias("m"),
     ).select("meeting", "title_id", "id", "speaker_name", "m.*")
-    return top_rows(keyed, ["meeting", "title_id", "metric"], [F.col("sort_key"), F.col("id")], n).drop("sort_key")
+    return top_rows(keyed, ["meeting", "title_id", "metric"], [F.col("sort_key").asc_nulls_last(), F.col("id")], n).drop("sort_key")
 
 
 def speaker_in_topk(rows: DataFrame, top: DataFrame) -> DataFrame:
@@ -246,23 +246,28 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, dim: int | None = None
     return both.select(*pairs.columns, pair_cosine(dim).alias("cos_similarity"))
 
 
-def triplet_distances(triples: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
-    """Per triple of ids and metric: 1 where the positive is nearer to the anchor than the other."""
+def triplet_distances(triples: DataFrame, vectors: DataFrame, dim: int | None = None, digits: int | None = None) -> DataFrame:
+    """Per triple of ids and metric: 1 where the positive is nearer to the anchor than the other.
+    ``digits`` rounds both sides, so that equal distances compare as equal."""
+
+    def r(x: Column) -> Column:
+        return x if digits is None else F.round(x, digits)
+
     out = triples
     for role in ("anchor", "positive", "other"):
         out = out.join(vectors.select("meeting", F.col("id").alias(role), F.col("vec").alias(f"{role}_vec")), ["meeting", role])
-    a, p, o = (F.col(f"{r}_vec") for r in ("anchor", "positive", "other"))
+    a, p, o = (F.col(f"{role}_vec") for role in ("anchor", "positive", "other"))
     tests = {
-        "cosine": V.cosine_similarity(a, p, dim) > V.cosine_similarity(a, o, dim),
-        "manhattan": V.manhattan_distance(a, p, dim) < V.manhattan_distance(a, o, dim),
-        "euclidean": V.euclidean_distance(a, p, dim) < V.euclidean_distance(a, o, dim),
+        "cosine": r(V.cosine_similarity(a, p, dim)) > r(V.cosine_similarity(a, o, dim)),
+        "manhattan": r(V.manhattan_distance(a, p, dim)) < r(V.manhattan_distance(a, o, dim)),
+        "euclidean": r(V.euclidean_distance(a, p, dim)) < r(V.euclidean_distance(a, o, dim)),
     }
     return out.select("meeting", "anchor", "positive", "other", *[F.coalesce(t.cast("double"), F.lit(0.0)).alias(n) for n, t in tests.items()])
 
 
-def triplet_accuracy(triples: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
+def triplet_accuracy(triples: DataFrame, vectors: DataFrame, dim: int | None = None, digits: int | None = None) -> DataFrame:
     """Share of triples decided rightly by each metric, and the best of the shares."""
-    near = triplet_distances(triples, vectors, dim)
+    near = triplet_distances(triples, vectors, dim, digits)
     names = ("cosine", "manhattan", "euclidean")
     shares = near.agg(F.count("*").alias("triples"), *[F.avg(n).alias(f"accuracy_{n}") for n in names])
     return shares.withColumn("accuracy_max", F.greatest(*[f"accuracy_{n}" for n in names]))

@@ -92,7 +92,7 @@ def unique_title(spark, sf):
     return D.unique_titles(digest(spark, sf)).select("meeting", "section", "title_pos", "raw_title", "title")
 
 
-@query("digest_clause_table", "SELECT meeting, id, title, speaker_name, clause, kind FROM digest_clauses", "digest_clauses")
+@query("digest_clause_table", "SELECT meeting, id, title, speaker_name, clause, kind, section FROM digest_clauses", "digest_clauses")
 def digest_clause_table(spark, sf):
     return D.digest_clause_table(digest(spark, sf))
 
