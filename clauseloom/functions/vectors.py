@@ -64,20 +64,25 @@ def histogram(vec: Column, bins: int = BINS, epsilon: float = EPSILON) -> Column
     start = F.when(flat, low - 0.5).otherwise(low)
     step = (F.when(flat, high + 0.5).otherwise(high) - start) / bins
 
-    def share(i: Column) -> Column:
-        inside = F.filter(
-            vec,
-            lambda v: (v >= start + step * i) & ((v < start + step * (i + 1)) | (i == bins - 1)),
-        )
-        return (F.size(inside) + epsilon) / F.size(vec)
+    def shares(row: Column) -> Column:
+        def share(i: Column) -> Column:
+            left, right = row["start"] + row["step"] * i, row["start"] + row["step"] * (i + 1)
+            inside = F.filter(row["vec"], lambda v: (v >= left) & ((v < right) | (i == bins - 1)))
+            return (F.size(inside) + epsilon) / F.size(row["vec"])
 
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), share)
+        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), share)
 
+    # A one-element array holds start and step, so that they are worked out once per vector.
+    bound = F.array(F.struct(vec.alias("vec"), start.alias("start"), step.alias("step")))
+    return F.get(F.transform(bound, shares), F.lit(0))
 
-def kl_from_histograms(a: Column, b: Column, bins: int = BINS) -> Column:
+
+def kl_from_histograms(a: Column, b: Column, bins: int | None = BINS) -> Column:
+    """Divergence of two histogram columns; with ``bins`` None they may be costly expressions, each
+    of which is evaluated once."""
     return _total(a, b, lambda x, y: x * F.ln(x / y), bins)
 
 
 def histogram_kl(a: Column, b: Column, bins: int = BINS, epsilon: float = EPSILON) -> Column:
     """Kullback-Leibler divergence of the two value histograms; positions play no part."""
-    return kl_from_histograms(histogram(a, bins, epsilon), histogram(b, bins, epsilon), bins)
+    return kl_from_histograms(histogram(a, bins, epsilon), histogram(b, bins, epsilon), None)
