@@ -15,7 +15,7 @@ from clauseloom.operators.sampling import limit_examples
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
 
 # Quoted fields may hold line breaks; a quote inside a field is doubled.
-TEXT_OPTIONS = {"quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+TEXT_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def extension(path: str) -> str:
@@ -30,7 +30,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, has_he
     twice for inference."""
     kind = extension(path)
     if kind in SEPARATORS:
-        reader = spark.read.options(**TEXT_OPTIONS, header=has_header, sep=SEPARATORS[kind], inferSchema=schema is None)
+        reader = spark.read.options(**TEXT_OPTIONS, multiLine=True, header=has_header, sep=SEPARATORS[kind], inferSchema=schema is None)
         if schema:
             reader = reader.schema(schema)
         df = reader.csv(path)
@@ -50,13 +50,15 @@ def read_headerless(spark: SparkSession, path: str, columns: int | None = None)
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Delimited text with a header; the separator follows the extension of the path."""
-    df.write.mode(mode).options(header=True, sep=SEPARATORS[extension(path)], quote='"', escape='"', emptyValue='""').csv(path)
+    df.write.mode(mode).options(**TEXT_OPTIONS, header=True, sep=SEPARATORS[extension(path)], emptyValue='""').csv(path)
 
 
-def read_meetings(spark: SparkSession, folder: str, prefix: str = MEETING_PREFIX) -> DataFrame:
-    """One row per minutes file whose name starts with the prefix: meeting (stem), assembly, digest."""
+def read_meetings(spark: SparkSession, folder: str, prefix: str = MEETING_PREFIX, multi_line: bool = True) -> DataFrame:
+    """Rows of the minutes files whose name starts with the prefix: meeting (stem), assembly, digest.
+
+    A file is one document, or with ``multi_line`` off one document per line, which can be split."""
     schema = f"assembly {ASSEMBLY_TYPE}, digest {DIGEST_TYPE}"
-    raw = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", f"{prefix}*").json(folder)
+    raw = spark.read.schema(schema).option("multiLine", multi_line).option("pathGlobFilter", f"{prefix}*").json(folder)
     return raw.select(file_stem(F.col("_metadata.file_name")).alias("meeting"), "assembly", "digest")
 
 
