@@ -58,7 +58,7 @@ def clean_text(text: Column) -> Column:
     out = F.translate(text, "【】（）()［］[]", " " * 10)
     out = F.regexp_replace(out, r"[@＠][\p{L}\p{N}_]+", "")
     out = F.regexp_replace(out, r"\p{Nd}+\.*\p{Nd}*", "")
-    return F.regexp_replace(out, "[、。]", "")
+    return F.translate(out, "、。", "")
 
 
 def drop_tokens(tokens: Column, min_len: int = 2) -> Column:
@@ -70,9 +70,11 @@ def tokenize(text: Column, min_len: int = 2) -> Column:
     """Noun-like surface forms: runs of two or more Han, Katakana or Latin letters.
 
     It keeps the filters of a noun tokenizer (no hiragana-only and no one-letter token) without its
-    dictionary, so it makes no part-of-speech test; ``user_tokenizer`` plugs in one that does.
+    dictionary, so it makes no part-of-speech test; ``user_tokenizer`` plugs in one that does. No
+    run is hiragana or shorter than two, so nothing is left to drop up to a ``min_len`` of 2.
     """
-    return drop_tokens(F.regexp_extract_all(clean_text(text), F.lit(NOUN_RUN_PATTERN), F.lit(0)), min_len)
+    runs = F.regexp_extract_all(clean_text(text), F.lit(NOUN_RUN_PATTERN), F.lit(0))
+    return runs if min_len <= 2 else drop_tokens(runs, min_len)
 
 
 def tokenize_wakati(text: Column) -> Column:

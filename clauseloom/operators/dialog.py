@@ -211,7 +211,7 @@ def unique_titles(digest: DataFrame, block: int = BLOCK) -> DataFrame:
         )
     )
     seen = running(
-        per_section,
+        cut_lineage(per_section),
         ["meeting", "title"],
         block_of("title_pos", block),
         ["title_pos"],

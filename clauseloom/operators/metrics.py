@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.operators.ordered import running
+from clauseloom.session import cut_lineage
 
 
 def pair_same_cluster(pairs: DataFrame, clusters: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -41,6 +42,8 @@ def score_steps(scored: DataFrame, cells: float = 1024.0) -> DataFrame:
     steps = scored.groupBy("score").agg(
         F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") != 1).cast("long")).alias("neg")
     )
+    # Counts per score, made by one pass over the rows and read three times.
+    steps = cut_lineage(steps)
     down = -F.col("score")
     cumulative = running(steps, [], [F.floor(down * cells)], [down], sums={"tp": F.col("pos"), "fp": F.col("neg")})
     totals = steps.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import vectors as V
 from clauseloom.operators.dialog import block_of
 from clauseloom.operators.ordered import row_index, running, top_rows, with_totals
+from clauseloom.session import cut_lineage
 
 # Metric names in report order.
 METRICS = ("cos_similarity", "kl_divergence", "chebyshev_distance", "euclidean_distance", "manhattan_distance")
@@ -297,7 +298,8 @@ def paraphrase_mining(mined: DataFrame, known: DataFrame, cells: int = 1024) ->
 
     Mined pairs are only counted per score, inside the stage that makes them; ranking is a running
     count over blocks of scores, and only known pairs are numbered one by one."""
-    steps = (
+    known = cut_lineage(known)
+    steps = cut_lineage(
         mined.groupBy("score")
         .agg(F.count("*").alias("pairs"))
         .join(known.groupBy("score").agg(F.count("*").alias("right")), "score", "left")

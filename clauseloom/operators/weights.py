@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as X
 from clauseloom.operators.dialog import debating_speakers, pair_speakers
 from clauseloom.operators.ordered import row_index, with_totals
+from clauseloom.session import cut_lineage
 
 
 def bag_of_words(docs: DataFrame, tokens: Column, keys: Sequence[str] = ("meeting", "doc")) -> DataFrame:
@@ -33,15 +34,24 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("meeting").agg(F.countDistinct("doc").alias("n_docs"))
 
 
+def document_bag(docs: DataFrame, tokens: Column) -> DataFrame:
+    """Bag of documents that are one row each, with ``doc_len`` carried along from that row, so
+    that the length costs no aggregation of its own."""
+    # The length is a column before the words are unfolded, else each word would carry the array.
+    rows = docs.select("meeting", "doc", tokens.alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
+    words = rows.select("meeting", "doc", "doc_len", F.explode("tokens").alias("word"))
+    return words.groupBy("meeting", "doc", "word", "doc_len").agg(F.count("*").alias("n"))
+
+
 def document_frequency(bag: DataFrame) -> DataFrame:
-    """Documents per word. Reading ``n`` keeps the bag's columns the same as in the joins it meets
-    again, so its shuffle is made once and reused."""
-    return bag.groupBy("meeting", "word").agg(F.sum((F.col("n") > 0).cast("long")).alias("df"))
+    return bag.groupBy("meeting", "word").agg(F.count("*").alias("df"))
 
 
 def term_frequency(bag: DataFrame) -> DataFrame:
     """Count over document length."""
-    return with_totals(bag, ["meeting", "doc"], {"doc_len": F.sum("n")}).withColumn("tf", F.col("n") / F.col("doc_len"))
+    if "doc_len" not in bag.columns:
+        bag = with_totals(bag, ["meeting", "doc"], {"doc_len": F.sum("n")})
+    return bag.withColumn("tf", F.col("n") / F.col("doc_len"))
 
 
 def inverse_doc_frequency(bag: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -54,22 +64,35 @@ def tf_idf(bag: DataFrame, n_docs: DataFrame) -> DataFrame:
     return term_frequency(bag).join(idf, ["meeting", "word"]).withColumn("tf_idf", F.col("tf") * F.col("idf"))
 
 
-def scaled(weights: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
-    """Divide ``weight`` by a per-key total, aggregated first."""
-    return with_totals(weights, keys, {"total": total}).withColumn("weight", F.col("weight") / F.col("total")).drop("total")
+def scaled(weights: DataFrame, keys: Sequence[str], power: int, one_row_docs: bool = False) -> DataFrame:
+    """Divide ``weight`` by the key's sum (power 1) or Euclidean length (power 2).
+
+    Where a document is one input row its words fit a task, and a window adds them up in the one
+    shuffle by document. A cluster may be most of the data: its total is aggregated in parts first
+    and joined back, over weights written once."""
+
+    def total(of: Column) -> Column:
+        return of if power == 1 else F.sqrt(of)
+
+    mass = F.sum(F.pow("weight", F.lit(power)))
+    if one_row_docs:
+        divisor = total(mass.over(Window.partitionBy(*keys)))
+        return weights.withColumn("weight", F.col("weight") / divisor)
+    summed = with_totals(cut_lineage(weights), keys, {"mass": mass})
+    return summed.withColumn("weight", F.col("weight") / total(F.col("mass"))).drop("mass")
 
 
 def doc_representation(bag: DataFrame, n_docs: DataFrame) -> DataFrame:
     """TF-IDF of each document divided by its sum."""
     weights = tf_idf(bag, n_docs).select("meeting", "doc", "word", F.col("tf_idf").alias("weight"))
-    return scaled(weights, ["meeting", "doc"], F.sum("weight"))
+    return scaled(weights, ["meeting", "doc"], 1, "doc_len" in bag.columns)
 
 
 def smooth_l2_tfidf(bag: DataFrame, n_docs: DataFrame) -> DataFrame:
     """Count times (ln(N / df) + 1), each document scaled to length 1."""
     idf = document_frequency(bag).join(n_docs, "meeting").select("meeting", "word", (F.ln(F.col("n_docs") / F.col("df")) + 1).alias("idf"))
     weights = bag.join(idf, ["meeting", "word"]).select("meeting", "doc", "word", (F.col("n") * F.col("idf")).alias("weight"))
-    return scaled(weights, ["meeting", "doc"], F.sqrt(F.sum(F.col("weight") * F.col("weight"))))
+    return scaled(weights, ["meeting", "doc"], 2, "doc_len" in bag.columns)
 
 
 def cluster_tfidf(clauses: DataFrame, tokens: Column | None = None, cluster: str = "cluster") -> DataFrame:
@@ -90,7 +113,7 @@ def log2_l2_tfidf(bag: DataFrame, n_docs: DataFrame) -> DataFrame:
         .select("meeting", "word", F.log2(F.col("n_docs") / F.col("df")).alias("idf"))
     )
     weights = bag.join(idf, ["meeting", "word"]).select("meeting", "doc", "word", (F.col("n") * F.col("idf")).alias("weight"))
-    return scaled(weights, ["meeting", "doc"], F.sqrt(F.sum(F.col("weight") * F.col("weight"))))
+    return scaled(weights, ["meeting", "doc"], 2, "doc_len" in bag.columns)
 
 
 def filter_extremes(bag: DataFrame, n_docs: DataFrame, no_below: int = 1, no_above: float = 0.1, keep: int | None = 100000) -> DataFrame:
@@ -112,10 +135,18 @@ def filter_extremes(bag: DataFrame, n_docs: DataFrame, no_below: int = 1, no_abo
 def word_ranking(scores: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Full ranking 1..V of the words per key, by score descending, then word ascending.
 
-    Most words share a few low scores, so a block is one score and the first letters of the word;
-    no task holds a whole vocabulary."""
-    down = -F.col(score)
-    return row_index(scores, keys, [down, F.substring("word", 1, 2)], ["word"], "rank")
+    A key's words are cut into cells of similar score, and a cell's words into blocks of one score
+    and the first letters. Scores that are all different fill many cells, words that share one
+    score many letters, so neither gathers a whole vocabulary in a task."""
+    value = F.col(score)
+    cell = F.when(value > 0, -F.floor(F.log2(value) * 64)).otherwise(F.lit(2**31))
+    rows = cut_lineage(scores.withColumn("__cell", cell))
+    inside = row_index(rows, [*keys, "__cell"], [-value, F.substring("word", 1, 2)], ["word"], "rank")
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*keys, "__cell").agg(F.count("*").alias("n_in"))
+    offsets = cells.select(*keys, "__cell", F.coalesce(F.sum("n_in").over(before), F.lit(0)).alias("__ahead"))
+    ranked = inside.join(offsets, [*keys, "__cell"])
+    return ranked.withColumn("rank", F.col("rank") + F.col("__ahead")).drop("__cell", "__ahead")
 
 
 def dedupe_in_order(occurrences: DataFrame, keys: Sequence[str], order: Sequence[str], block: Sequence[Column]) -> DataFrame:
@@ -125,16 +156,21 @@ def dedupe_in_order(occurrences: DataFrame, keys: Sequence[str], order: Sequence
     return row_index(first, keys, block, ["first"], "place").withColumn("place", F.col("place") - 1)
 
 
-def corpus_ratio(discussions: DataFrame, clauses: DataFrame, tokens: Column | None = None) -> DataFrame:
+def corpus_ratio(discussions: DataFrame, clauses: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
     """Per questioner and respondent: a word's count in their clauses over its count in the
-    meeting's clauses (chairs already removed).
+    meeting's clauses (chairs already removed). Without ``clauses`` the discussions are all there is,
+    and their texts are tokenized only once.
 
     Words are counted per speaker before speakers are combined into pairs, so the questioner's
     clauses are not copied for each respondent, only their word counts."""
     tokens = tokens if tokens is not None else X.tokenize(F.col("utterance"))
-    corpus = bag_of_words(clauses, tokens, ["meeting"]).withColumnRenamed("n", "total")
     where = ["meeting", "discussion", "speaker_name"]
     spoken = bag_of_words(discussions, tokens, where)
+    if clauses is None:
+        spoken = cut_lineage(spoken)
+        corpus = spoken.groupBy("meeting", "word").agg(F.sum("n").alias("total"))
+    else:
+        corpus = bag_of_words(clauses, tokens, ["meeting"]).withColumnRenamed("n", "total")
     pairs = pair_speakers(debating_speakers(discussions))
     counts = pairs.join(spoken, where).groupBy("meeting", "discussion", "questioner", "respondent", "word").agg(F.sum("n").alias("n"))
     return counts.join(corpus, ["meeting", "word"]).withColumn("ratio", F.col("n") / F.col("total"))
@@ -143,6 +179,7 @@ def corpus_ratio(discussions: DataFrame, clauses: DataFrame, tokens: Column | No
 def class_tfidf(bag: DataFrame) -> DataFrame:
     """Class-based weight: share of the word in the class times ln(1 + mean class length / f),
     with f the word's count over all classes of the meeting."""
+    bag = cut_lineage(bag)
     sizes = bag.groupBy("meeting", "doc").agg(F.sum("n").alias("class_len"))
     mean = sizes.groupBy("meeting").agg(F.avg("class_len").alias("mean_len"))
     words = bag.groupBy("meeting", "word").agg(F.sum("n").alias("f")).join(mean, "meeting")

@@ -118,7 +118,7 @@ def word_match_count(spark, sf):
 def pair_summary_hits(spark, sf):
     """Each conversation is one discussion."""
     rows = clauses(spark, sf).withColumn("discussion", F.lit(0))
-    scores = W.corpus_ratio(rows, rows)
+    scores = W.corpus_ratio(rows)
     return M.pair_summary_hits(D.debater_pairs(DQ.digest(spark, sf)), scores, 5, "ratio", 6)
 
 

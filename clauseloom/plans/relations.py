@@ -17,7 +17,7 @@ from clauseloom.functions import text as X
 from clauseloom.operators import dialog as D
 from clauseloom.operators.ordered import row_index, running
 from clauseloom.plans.registry import part
-from clauseloom.session import staged
+from clauseloom.session import spread, staged
 
 CHAIR = ("system",)
 # Letters whose shares make up a text's profile vector.
@@ -26,8 +26,13 @@ DIM = len(LETTERS)
 VEC_DIM = 64
 
 
+# Tables whose rows carry whole texts and get split, cleaned or tokenized.
+TEXTS = ("documents", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +43,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """meeting, id, speaker_name, utterance, label, turn; a table of its own, as most queries use it."""
-    return staged(spark, sf_dir, "clauses", lambda: D.clauses_from_turns(turns(spark, sf_dir), X.CLAUSE_END_WESTERN))
+    return staged(spark, sf_dir, "clauses", lambda: make_clauses(spark, sf_dir))
+
+
+def make_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.clauses_from_turns(turns(spark, sf_dir), X.CLAUSE_END_WESTERN)
 
 
 CLAUSE_RE = f"[^{X.CLAUSE_END_WESTERN}]+[{X.CLAUSE_END_WESTERN}]?"

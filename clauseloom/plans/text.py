@@ -8,7 +8,7 @@ from clauseloom.functions import text as X
 from clauseloom.operators import dialog as D
 from clauseloom.operators.labels import encode_labels
 from clauseloom.plans.registry import part, query
-from clauseloom.plans.relations import CHAIR, CLAUSE_RE, clauses, digest, table, turns
+from clauseloom.plans.relations import CHAIR, CLAUSE_RE, clauses, digest, make_clauses, table, turns
 
 NOUNS_SQL = r"[\p{Han}々〆ヶ]{2,}|[\p{Katakana}ー]{2,}|[\p{Latin}]{2,}"
 RUNS_SQL = r"[\p{Han}々〆ヶ]+|[\p{Katakana}ー]+|[\p{Hiragana}]+|[\p{Latin}]+"
@@ -66,7 +66,7 @@ def split_clauses(spark, sf):
 
 @query("sequence_ids", "SELECT meeting, id, speaker_name, utterance, label FROM clauses", "clauses")
 def sequence_ids(spark, sf):
-    return clauses(spark, sf).drop("turn")
+    return make_clauses(spark, sf).drop("turn")
 
 
 @query(

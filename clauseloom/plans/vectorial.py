@@ -8,7 +8,7 @@ from clauseloom.functions import vectors as V
 from clauseloom.operators import dialog as D
 from clauseloom.operators import metrics as R
 from clauseloom.operators import vectors as O
-from clauseloom.operators.ordered import running
+from clauseloom.operators.ordered import running, top_rows
 from clauseloom.plans import dialogue as DQ
 from clauseloom.plans.registry import part, query
 from clauseloom.plans.relations import DIM, VEC_DIM, clauses, clustered, digest, profile, profile_sql, table, vectors
@@ -285,17 +285,18 @@ part(
 )
 
 
-def metrics(spark, sf):
-    def build():
-        pieces = digest_vectors(spark, sf).select("meeting", F.col("id").alias("clause_id"), "clause", "vec")
-        return O.title_clause_metrics(title_vectors(spark, sf), pieces, DIM)
+def make_metrics(spark, sf):
+    pieces = digest_vectors(spark, sf).select("meeting", F.col("id").alias("clause_id"), "clause", "vec")
+    return O.title_clause_metrics(title_vectors(spark, sf), pieces, DIM)
 
-    return staged(spark, sf, "title_clause_metrics", build)
+
+def metrics(spark, sf):
+    return staged(spark, sf, "title_clause_metrics", lambda: make_metrics(spark, sf))
 
 
 @query("title_clause_metrics", f"SELECT meeting, id, title_id, title, clause_id, clause, {METRICS_SQL} FROM title_clauses", "title_clauses")
 def title_clause_metrics(spark, sf):
-    return metrics(spark, sf).withColumns({m: F.round(m, 6) for m in O.METRICS})
+    return make_metrics(spark, sf).withColumns({m: F.round(m, 6) for m in O.METRICS})
 
 
 def best_metrics(spark, sf):
@@ -309,8 +310,6 @@ def topk_by_metric(spark, sf):
 
 @query("lowest_k", "SELECT meeting, title_id, clause_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY meeting, title_id ORDER BY value, clause_id) AS rank FROM long_metrics WHERE metric = 'kl_divergence') WHERE rank <= 5", "long_metrics")
 def lowest_k(spark, sf):
-    from clauseloom.operators.ordered import top_rows
-
     rows = metrics(spark, sf).select("meeting", "title_id", "clause_id", F.round("kl_divergence", TIE_DIGITS).alias("value"))
     return top_rows(rows, ["meeting", "title_id"], [F.col("value").asc_nulls_last(), F.col("clause_id")], 5).drop("value")
 

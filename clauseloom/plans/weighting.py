@@ -33,7 +33,8 @@ def docs(spark, sf):
 
 
 def bag(spark, sf):
-    return W.bag_of_words(docs(spark, sf), X.tokenize(F.col("text")))
+    """The documents' word counts, written once for all weights built on them."""
+    return staged(spark, sf, "bag", lambda: W.document_bag(docs(spark, sf), X.tokenize(F.col("text"))))
 
 
 def n_docs(spark, sf):
@@ -46,7 +47,7 @@ def rounded(df, column):
 
 @query("bag_of_words", "SELECT meeting, doc, word, n FROM bag", "bag")
 def bag_of_words(spark, sf):
-    return bag(spark, sf)
+    return W.bag_of_words(docs(spark, sf), X.tokenize(F.col("text")))
 
 
 @query("term_frequency", "SELECT meeting, doc, word, round(tf, 6) AS tf FROM tf_idfs", "tf_idfs")
@@ -194,7 +195,7 @@ def dedupe_in_order(spark, sf):
 )
 def corpus_ratio(spark, sf):
     rows = discussion_docs(spark, sf)
-    return rounded(W.corpus_ratio(rows, rows).select("meeting", "discussion", "questioner", "respondent", "word", "n", "ratio"), "ratio")
+    return rounded(W.corpus_ratio(rows).select("meeting", "discussion", "questioner", "respondent", "word", "n", "ratio"), "ratio")
 
 
 @query(

@@ -49,6 +49,19 @@ def new_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows to all cores if the table is too small to have a split for each of them.
+
+    A small file often has one row group, which one task reads. Above one full split per core the
+    scan is parallel by itself, and the rows stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) < cores * SPLIT_BYTES else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: survives the loss of executors."""
     path = new_path(df.sparkSession, "stage")
