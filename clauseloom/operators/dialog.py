@@ -63,7 +63,8 @@ def flatten_assembly(meetings: DataFrame, ends: str = X.CLAUSE_END) -> DataFrame
 def clauses_from_turns(turns: DataFrame, ends: str = X.CLAUSE_END, block: int = BLOCK) -> DataFrame:
     """Clauses of tabular minutes (meeting, turn, speaker_name, text), one turn being a paragraph.
 
-    The running totals are taken over turns, before they are split into clauses."""
+    The running totals are taken over turns, before they are split into clauses. The outer form of
+    posexplode keeps the planner from testing for empty turns by splitting the text once more."""
     cut = turns.withColumn("parts", X.split_clauses(F.col("text"), ends))
     numbered = running(
         cut,
@@ -72,14 +73,17 @@ def clauses_from_turns(turns: DataFrame, ends: str = X.CLAUSE_END, block: int =
         ["turn"],
         sums={"label": F.lit(1).cast("long"), "upto": F.size("parts").cast("long")},
     )
-    return numbered.select(
+    unfolded = numbered.select(
         "meeting",
         "turn",
         "speaker_name",
         "label",
         (F.col("upto") - F.size("parts")).alias("first"),
-        F.posexplode("parts").alias("pos", "utterance"),
-    ).select("meeting", (F.col("first") + F.col("pos")).alias("id"), "speaker_name", "utterance", "label", "turn")
+        F.posexplode_outer("parts").alias("pos", "utterance"),
+    )
+    return unfolded.filter(F.col("pos").isNotNull()).select(
+        "meeting", (F.col("first") + F.col("pos")).alias("id"), "speaker_name", "utterance", "label", "turn"
+    )
 
 
 def reply_by_position(reply: Column) -> Column:

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import contains_word
@@ -70,32 +69,40 @@ def pair_summary_hits(pairs: DataFrame, pair_scores: DataFrame, n: int = 5, scor
     return pairs.select("meeting").distinct().join(counts, "meeting", "left").na.fill(0, ["hits"])
 
 
-def _take_free(edges: pd.DataFrame) -> pd.DataFrame:
-    """Go through one meeting's edges in order, keeping each whose cluster and title are free."""
-    clusters, titles, kept = set(), set(), []
-    for i, (cluster, title) in enumerate(zip(edges["cluster_no"], edges["title_no"])):
-        if cluster not in clusters and title not in titles:
-            clusters.add(cluster)
-            titles.add(title)
-            kept.append(i)
-    return edges.iloc[kept]
+def _take_free(edges: Column) -> Column:
+    """Go through sorted edges, keeping each whose cluster and title are still free."""
+    start = F.struct(
+        F.array().cast("array<long>").alias("clusters"),
+        F.array().cast("array<long>").alias("titles"),
+        F.slice(edges, 1, 0).alias("kept"),
+    )
+
+    def step(state: Column, edge: Column) -> Column:
+        taken = F.array_contains(state["clusters"], edge["cluster_no"]) | F.array_contains(state["titles"], edge["title_no"])
+        added = F.struct(
+            F.array_append(state["clusters"], edge["cluster_no"]).alias("clusters"),
+            F.array_append(state["titles"], edge["title_no"]).alias("titles"),
+            F.array_append(state["kept"], edge).alias("kept"),
+        )
+        return F.when(taken, state).otherwise(added)
+
+    return F.aggregate(edges, start, step, lambda state: state["kept"])
 
 
 def _greedy(edges: DataFrame, order: Sequence[str], sizes: DataFrame) -> DataFrame:
     """Greedy matching over ordered edges (meeting, cluster_no, title_no, rank, word).
 
     Only the first k edges of a cluster can matter, k being the meeting's number of clusters: when
-    the k-th fails too, k other clusters would have to hold k titles. The same holds for titles and
-    their number. Dropping the rest is exact and leaves at most k*k edges of a meeting, however
-    many titles it has, for the one step that has to go through them in sequence."""
+    the k-th fails too, k other clusters would have to hold k titles. Dropping the rest is exact
+    and leaves at most k*k edges of a meeting, however many titles it has, for the one step that
+    has to go through them in sequence."""
     by_cluster = Window.partitionBy("meeting", "cluster_no").orderBy(*order)
     few = edges.join(sizes, "meeting").withColumn("nth", F.row_number().over(by_cluster)).filter(F.col("nth") <= F.col("k"))
-    few = few.select("meeting", "cluster_no", "title_no", "rank", "word")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _take_free(pdf.sort_values(list(order), kind="stable"))
-
-    return few.groupBy("meeting").applyInPandas(match, few.schema)
+    # Sorting compares the struct's fields in turn, so the order columns come first.
+    fields = [*order, *[c for c in ("cluster_no", "title_no", "rank", "word") if c not in order]]
+    listed = few.groupBy("meeting").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("edges"))
+    kept = listed.select("meeting", F.inline(_take_free(F.col("edges"))))
+    return kept.select("meeting", "cluster_no", "title_no", "rank", "word")
 
 
 def cluster_numbers(words: DataFrame) -> DataFrame:

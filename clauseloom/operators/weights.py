@@ -37,9 +37,11 @@ def document_counts(docs: DataFrame) -> DataFrame:
 def document_bag(docs: DataFrame, tokens: Column) -> DataFrame:
     """Bag of documents that are one row each, with ``doc_len`` carried along from that row, so
     that the length costs no aggregation of its own."""
-    # The length is a column before the words are unfolded, else each word would carry the array.
+    # The length is a column before the words are unfolded, else each word would carry the array;
+    # and the outer form of explode keeps the planner from testing for empty arrays beforehand,
+    # which would tokenize the text once more.
     rows = docs.select("meeting", "doc", tokens.alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
-    words = rows.select("meeting", "doc", "doc_len", F.explode("tokens").alias("word"))
+    words = rows.select("meeting", "doc", "doc_len", F.explode_outer("tokens").alias("word")).filter(F.col("word").isNotNull())
     return words.groupBy("meeting", "doc", "word", "doc_len").agg(F.count("*").alias("n"))
 
 

@@ -97,9 +97,10 @@ def make_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     made = turns(spark, sf_dir).withColumn("parts", parts)
     numbered = running(made, ["meeting"], D.block_of("turn"), ["turn"], sums={"upto": F.size("parts").cast("long")})
-    return numbered.select(
-        "meeting", "speaker_name", "turn", (F.col("upto") - F.size("parts")).alias("first"), F.posexplode("parts").alias("pos", "r")
-    ).select("meeting", (F.col("first") + F.col("pos")).alias("id"), "speaker_name", "r.utterance", "r.kind", "turn")
+    unfolded = numbered.select(
+        "meeting", "speaker_name", "turn", (F.col("upto") - F.size("parts")).alias("first"), F.posexplode_outer("parts").alias("pos", "r")
+    )
+    return unfolded.filter(F.col("pos").isNotNull()).select("meeting", (F.col("first") + F.col("pos")).alias("id"), "speaker_name", "r.utterance", "r.kind", "turn")
 
 
 part(
