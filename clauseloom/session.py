@@ -27,20 +27,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a ``local`` session may fall back to a
     folder of this machine; anywhere else an unset folder is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="clauseloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="clauseloom-")
+        _OWN[spark.sparkContext.applicationId] = named
     return named.rstrip("/")
 
 

@@ -17,6 +17,9 @@ SEPARATORS = {".csv": ",", ".tsv": "\t"}
 # Quoted fields may hold line breaks; a quote inside a field is doubled.
 TEXT_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
+# Read back only: a field left empty is null, an empty pair of quotes is an empty text.
+NOTHING = "\0"
+
 
 def extension(path: str) -> str:
     base = path.rstrip("/").rsplit("/", 1)[-1]
@@ -30,7 +33,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, has_he
     twice for inference."""
     kind = extension(path)
     if kind in SEPARATORS:
-        reader = spark.read.options(**TEXT_OPTIONS, multiLine=True, header=has_header, sep=SEPARATORS[kind], inferSchema=schema is None)
+        reader = spark.read.options(**TEXT_OPTIONS, multiLine=True, nullValue=NOTHING, header=has_header, sep=SEPARATORS[kind], inferSchema=schema is None)
         if schema:
             reader = reader.schema(schema)
         df = reader.csv(path)
