@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as X
-from clauseloom.operators.ordered import row_index, running, with_totals
+from clauseloom.operators.ordered import row_index, running, split_join, with_totals
 from clauseloom.operators.sampling import draw, seeded
 from clauseloom.session import cut_lineage
 
@@ -410,7 +410,7 @@ def triple_ids_v3(discussions: DataFrame, seed: str, longer_than: int = 10, bloc
     )
     number = draw(seed, F.col("total") - F.col("size"), *where, "anchor", "positive")
     return (
-        anchors.join(positives, where)
+        split_join(anchors, positives, where)
         .withColumn("number", number)
         .withColumn("place", F.col("number") + F.when(F.col("number") >= F.col("run"), F.col("size")).otherwise(0))
         .join(placed.select(*where, "place", F.col("id").alias("other")), [*where, "place"])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import contains_word
-from clauseloom.operators.ordered import top_rows
+from clauseloom.operators.ordered import split_join, top_rows
 
 
 def top_words(scores: DataFrame, n: int = 5, keys: Sequence[str] = ("meeting", "cluster"), score: str = "weight", digits: int | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def word_lists(ranked: DataFrame, keys: Sequence[str] = ("meeting", "cluster"))
 
 def word_hits(titles: DataFrame, words: DataFrame) -> DataFrame:
     """Every (title, word entry) of a meeting where the title contains the word."""
-    return titles.join(words, "meeting").filter(contains_word(F.col("title"), F.col("word")))
+    return split_join(titles, words, ["meeting"]).filter(contains_word(F.col("title"), F.col("word")))
 
 
 def any_word_match(titles: DataFrame, words: DataFrame) -> DataFrame:

@@ -84,3 +84,22 @@ def with_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]
     task has to hold all rows of a key."""
     per_key = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
     return df.join(per_key, list(keys))
+
+
+# Rows of one key that one task may pair with the other side's rows of that key.
+PAIRED_ROWS = 20_000
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", rows: int = PAIRED_ROWS) -> DataFrame:
+    """Join two sides that both have many rows per key.
+
+    A key with more than ``rows`` left rows is dealt out in pieces, and its right rows are copied to
+    each piece, so that the pairs of a hot key are made by many tasks. Every pair is made exactly
+    once; keys below the bound, usually all, have one piece and are joined as they are."""
+    hot = left.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("__pieces")).filter(F.col("__pieces") > 1)
+    pieces = F.coalesce("__pieces", F.lit(1))
+    mark = F.pmod(F.xxhash64(*[c for c in left.columns if c not in keys]), pieces).cast("int")
+    dealt = left.join(hot, list(keys), "left").withColumn("__piece", mark).drop("__pieces")
+    copies = F.explode(F.sequence(F.lit(0), pieces - 1))
+    copied = right.join(hot, list(keys), "left").withColumn("__piece", copies).drop("__pieces")
+    return dealt.join(copied, [*keys, "__piece"], how).drop("__piece")

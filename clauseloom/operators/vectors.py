@@ -3,8 +3,8 @@
 A vector column is ``vec array<double>``. Pair tables are equi joins on the meeting (and speaker);
 norms and histograms are computed once per vector before the join. Where only the best partners are
 wanted, the top-k or maximum is taken inside the join's own stage, so pairs are never shuffled; a
-meeting with most of the rows is split by adaptive skew handling of the join. ``dim`` (vector
-length) makes the arithmetic compile into generated code.
+meeting with most of the rows is dealt out in pieces (``split_join``). ``dim`` (vector length) makes
+the arithmetic compile into generated code.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import vectors as V
 from clauseloom.operators.dialog import block_of
-from clauseloom.operators.ordered import row_index, running, top_rows, with_totals
+from clauseloom.operators.ordered import row_index, running, split_join, top_rows, with_totals
 from clauseloom.session import cut_lineage
 
 # Metric names in report order.
@@ -106,7 +106,7 @@ def title_clause_metrics(titles: DataFrame, clauses: DataFrame, dim: int | None
     sizes = clauses.groupBy("meeting").agg(F.count("*").alias("per_title"))
     left, right = prepared(t, "a", dim).join(sizes, "meeting"), prepared(c, "b", dim)
     va, vb = F.col("a_vec"), F.col("b_vec")
-    return left.join(right, "meeting").select(
+    return split_join(left, right, ["meeting"]).select(
         "meeting",
         ((F.col("title_no") - 1) * F.col("per_title") + F.col("clause_no") - 1).alias("id"),
         "title_id",
@@ -154,7 +154,7 @@ def metric_report(hits: DataFrame, keys: Sequence[str] = ("metric",)) -> DataFra
 def title_top_clauses(titles: DataFrame, clauses: DataFrame, n: int = 5, dim: int | None = None, digits: int | None = None) -> DataFrame:
     """Per title the n clauses of highest cosine and the n of lowest divergence, from all clauses
     of the meeting: (meeting, title_id, metric, rank, id, speaker_name)."""
-    pairs = prepared(titles, "a", dim).join(prepared(clauses, "b", dim), "meeting")
+    pairs = split_join(prepared(clauses, "b", dim), prepared(titles, "a", dim), ["meeting"])
     cos, kl = pair_cosine(dim), V.kl_from_histograms(F.col("b_hist"), F.col("a_hist"))
     if digits is not None:
         cos, kl = F.round(cos, digits), F.round(kl, digits)
@@ -193,7 +193,7 @@ def nearest_same_speaker(digest_clauses: DataFrame, clauses: DataFrame, dim: int
         score = F.round(score, digits)
     best = F.max(F.struct(score.alias("score"), (-F.col("near_id")).alias("neg_id")))
     return (
-        a.join(b, ["meeting", "speaker_name"], "left")
+        split_join(a, b, ["meeting", "speaker_name"], "left")
         .groupBy("meeting", "id", "speaker_name")
         .agg(best.alias("best"))
         .select("meeting", "id", "speaker_name", (-F.col("best.neg_id")).alias("near_id"), F.col("best.score").alias("cos_similarity"))
@@ -210,7 +210,7 @@ def topk_mean_vector(
     score = pair_cosine(dim)
     if digits is not None:
         score = F.round(score, digits)
-    near = a.join(b, ["meeting", "speaker_name"]).select(
+    near = split_join(a, b, ["meeting", "speaker_name"]).select(
         "meeting", "id", "near_id", F.col("b_vec").alias("vec"), score.alias("score")
     )
     best = top_rows(near, ["meeting", "id"], [F.col("score").desc(), F.col("near_id")], n)
@@ -224,7 +224,7 @@ def speaker_pair_relation(digest_clauses: DataFrame) -> DataFrame:
     b = digest_clauses.select("meeting", *[F.col(c).alias(f"reply_{c}") for c in ("id", "title", "speaker_name", "clause")])
     same = F.col("policy_title").eqNullSafe(F.col("reply_title"))
     return (
-        a.join(b, "meeting")
+        split_join(a, b, ["meeting"])
         .filter(F.col("policy_speaker_name") < F.col("reply_speaker_name"))
         .select(
             "meeting",
@@ -281,7 +281,8 @@ def mined_pairs(sentences: DataFrame, min_score: float = -1.0, dim: int | None =
     a = prepared(sentences.withColumnRenamed("id", "id1"), "a", dim, False)
     b = prepared(sentences.withColumnRenamed("id", "id2"), "b", dim, False)
     score = F.round(pair_cosine(dim), digits)
-    return a.join(b, "meeting").filter((F.col("id1") < F.col("id2")) & (score >= min_score)).select("meeting", "id1", "id2", score.alias("score"))
+    pairs = split_join(a, b, ["meeting"]).filter((F.col("id1") < F.col("id2")) & (score >= min_score))
+    return pairs.select("meeting", "id1", "id2", score.alias("score"))
 
 
 def known_pair_scores(known: DataFrame, sentences: DataFrame, dim: int | None = None, digits: int = 6) -> DataFrame:

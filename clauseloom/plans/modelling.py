@@ -100,6 +100,7 @@ def topic_distribution(spark, sf):
 
 
 @query("save_model")
+@query("load_model")
 def save_model(spark, sf):
     """The shares of a model that was written and loaded again."""
     docs = token_docs(spark, sf)

@@ -1,0 +1,2 @@
+"""No stream operators: every input is a complete file. What comes closest, scoring only the texts
+that are new, is ``clauseloom.sources.vectors.append_missing``."""

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clauseloom.operators import sampling as S
-from clauseloom.operators.ordered import running
+from clauseloom.operators.ordered import running, split_join, top_rows, with_totals
 from tests.conftest import rows
 
 
@@ -49,3 +49,20 @@ def test_samples(spark):
     assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {"a": 5, "b": 1}
     order = S.seeded_shuffle(df, ["g"], "i", "s")
     assert sorted(r["place"] for r in order.filter("g = 'a'").collect()) == list(range(1, 51))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_split_join_makes_every_pair_once(spark, how, size):
+    left = spark.createDataFrame([("hot", i) for i in range(20)] + [("cold", 1), ("alone", 2)], "k string, a long")
+    right = spark.createDataFrame([("hot", i) for i in range(11)] + [("cold", 7), ("unused", 3)], "k string, b long")
+    assert rows(split_join(left, right, ["k"], how, size), "k", "a", "b") == rows(left.join(right, "k", how), "k", "a", "b")
+
+
+def test_totals_and_top_rows(spark, events):
+    n = with_totals(events, ["k"], {"size": F.count("*")})
+    assert {r["k"]: r["size"] for r in n.select("k", "size").distinct().collect()} == {r["k"]: r["count"] for r in events.groupBy("k").count().collect()}
+    top = top_rows(events, ["k"], [F.col("at").desc()], 2)
+    assert top.filter("k = 'hot'").count() == 2 and top.filter("k = 'one'").count() == 1
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
