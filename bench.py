@@ -1,6 +1,6 @@
 """Time the headline queries and print one JSON line.
 
-Each query is run once to warm up and then BENCH_RUNS times (default 3); the median counts. Results
+Each query is run once to warm up and then BENCH_RUNS times (default 1); the median counts. Results
 go to a sink that reads every row and column. ``BENCH_ALL=1`` times every registered query.
 """
 
@@ -54,7 +54,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     load_all()
     names = list(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_PARTITIONS", "8")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as X
-from clauseloom.operators.ordered import row_index, running, split_join, with_totals
+from clauseloom.operators.ordered import row_index, running, split_join
 from clauseloom.operators.sampling import draw, seeded
 from clauseloom.session import cut_lineage
 
@@ -258,7 +258,7 @@ def segment_discussions(
     Rows before the first boundary and the meeting's last row belong to no discussion, chairs are
     removed after the cut, and a discussion left empty still uses up its number."""
     cut = running(clauses, ["meeting"], block_of("id", block), ["id"], sums={"discussion": boundary.cast("long")})
-    bounded = with_totals(cut, ["meeting"], {"last_id": F.max("id")})
+    bounded = cut.join(clauses.groupBy("meeting").agg(F.max("id").alias("last_id")), "meeting")
     return without_chair(
         bounded.filter((F.col("discussion") > 0) & (F.col("id") < F.col("last_id")))
         .withColumn("discussion", F.col("discussion") - 1)

@@ -46,9 +46,7 @@ def score_steps(scored: DataFrame, cells: float = 1024.0) -> DataFrame:
     steps = cut_lineage(steps)
     down = -F.col("score")
     cumulative = running(steps, [], [F.floor(down * cells)], [down], sums={"tp": F.col("pos"), "fp": F.col("neg")})
-    totals = steps.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    # ``totals`` is one row.
-    return cumulative.join(F.broadcast(totals))
+    return cumulative.withColumns({"all_pos": steps.agg(F.sum("pos")).scalar(), "all_neg": steps.agg(F.sum("neg")).scalar()})
 
 
 def roc_curve(scored: DataFrame, cells: float = 1024.0) -> DataFrame:

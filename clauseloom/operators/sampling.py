@@ -41,13 +41,12 @@ def seeded_shuffle(df: DataFrame, per: Sequence[str], item: str, seed: str) -> D
 
 def split_by_position(df: DataFrame, order: str, block: Sequence[Column]) -> DataFrame:
     """Add ``part``: the first int(0.8 n) rows train, the next int(0.1 n) eval, the rest test."""
-    n = df.agg(F.count("*").alias("n"))
     train, evaluate = F.floor(F.col("n") * 0.8), F.floor(F.col("n") * 0.1)
     part = (
         F.when(F.col("place") <= train, "train").when(F.col("place") <= train + evaluate, "eval").otherwise("test")
     )
-    # ``n`` is one row, so the broadcast is bounded.
-    return row_index(df, [], block, [order], "place").join(F.broadcast(n)).withColumn("part", part).drop("place", "n")
+    n = df.agg(F.count("*")).scalar()
+    return row_index(df, [], block, [order], "place").withColumn("n", n).withColumn("part", part).drop("place", "n")
 
 
 def limit_examples(df: DataFrame, order: Sequence[str], max_examples: int = 0) -> DataFrame:

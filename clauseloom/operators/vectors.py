@@ -61,7 +61,8 @@ def centroid(clustered: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def cosine_to_centroid(clustered: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
     """Distinct clauses of each cluster with their cosine to the cluster's centroid."""
-    members = vectors_by_id(dedupe_text(clustered), vectors)
+    # Finding the distinct texts shuffles them, so it is done once.
+    members = cut_lineage(vectors_by_id(dedupe_text(clustered), vectors))
     middle = mean_vector(members, ["meeting", "cluster"]).withColumnRenamed("vec", "com")
     score = V.cosine_similarity(F.col("vec"), F.col("com"), dim)
     return members.join(middle, ["meeting", "cluster"]).select(
@@ -308,10 +309,9 @@ def paraphrase_mining(mined: DataFrame, known: DataFrame, cells: int = 1024) ->
     )
     down = -F.col("score")
     ranked = running(steps, [], [F.floor(down * cells)], [down], sums={"extracted": F.col("pairs"), "correct": F.col("right")})
-    size = known.agg(F.count("*").alias("known"))
+    size = known.agg(F.count("*")).scalar()
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("right"))).alias("i")
-    # ``size`` is one row.
-    hits = ranked.filter(F.col("right") > 0).join(F.broadcast(size)).select("*", each)
+    hits = ranked.filter(F.col("right") > 0).withColumn("known", size).select("*", each)
     correct = F.col("correct") - F.col("right") + F.col("i")
     scored = hits.select(
         "score",
