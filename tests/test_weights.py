@@ -85,3 +85,12 @@ def test_dense_export(docs):
     wide = W.dense_scores(weights, "cluster", ["d1", "d2", "d3"])
     assert wide.columns == ["meeting", "words", "cluster1", "cluster2", "cluster3"]
     assert {r["words"] for r in wide.collect()} == {"zz"}
+
+
+def test_weights_have_unit_size(bag, docs):
+    n = W.document_counts(docs)
+    l1 = W.doc_representation(bag, n).groupBy("doc").agg(F.sum("weight").alias("s"))
+    assert all(math.isclose(r["s"], 1.0) for r in l1.collect())
+    for made in (W.smooth_l2_tfidf(bag, n), W.log2_l2_tfidf(bag, n)):
+        l2 = made.groupBy("doc").agg(F.sum(F.col("weight") * F.col("weight")).alias("s"))
+        assert all(math.isclose(r["s"], 1.0) for r in l2.collect())
