@@ -131,14 +131,14 @@ def op1_sql() -> str:
     names = f"[{', '.join(repr(k) for k in parts)}]"
     return f"""
 WITH RECURSIVE edf(t, pick, done) AS (
-  SELECT 0, 0, list_transform({q}, x -> 0)
+  SELECT 0, 0, list_transform({q}, lambda x: 0)
   UNION ALL
-  SELECT t + 1, p, list_transform(done, (d, i) -> d + CASE WHEN i = p THEN 1 ELSE 0 END) FROM (
-    SELECT t, done, list_min(list_transform({q}, (q, i) -> CASE WHEN done[i] < q AND done[i] * {PERIOD} // q <= t
+  SELECT t + 1, p, list_transform(done, lambda d, i: d + CASE WHEN i = p THEN 1 ELSE 0 END) FROM (
+    SELECT t, done, list_min(list_transform({q}, lambda q, i: CASE WHEN done[i] < q AND done[i] * {PERIOD} // q <= t
       THEN (((done[i] + 1) * {PERIOD} + q - 1) // q) * {PERIOD} + i ELSE NULL END)) % {PERIOD} AS p
     FROM edf WHERE t < {PERIOD})
 ), slots AS (
-  SELECT {names}[pick] AS g, {q}[pick] AS q, done[pick] - 1 AS i, t - 1 AS at FROM edf WHERE t > 0
+  SELECT {names}[pick] AS g, {q}[pick] AS q, done[pick] - 1 AS i, t - 1 AS place FROM edf WHERE t > 0
 ), rows_ AS (
   SELECT doc_id, CASE WHEN list_contains({names}, '=' || source) THEN '=' || source ELSE '{REST_GROUP}' END AS g,
     md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h, coalesce(length(text), 0) AS n FROM documents
@@ -146,6 +146,6 @@ WITH RECURSIVE edf(t, pick, done) AS (
   SELECT doc_id, g, sum(n) OVER (PARTITION BY g ORDER BY h, n ROWS UNBOUNDED PRECEDING) - n AS start FROM rows_
 )
 SELECT doc_id, p.g AS mix_group, start::BIGINT AS start, (start // {BLOCK_CHARS})::BIGINT AS block,
-  ((start // {BLOCK_CHARS}) // q * {PERIOD} + at)::BIGINT AS slot
+  ((start // {BLOCK_CHARS}) // q * {PERIOD} + place)::BIGINT AS slot
 FROM placed p JOIN slots s ON p.g = s.g AND (start // {BLOCK_CHARS}) % q = i
 """

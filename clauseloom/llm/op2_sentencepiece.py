@@ -8,7 +8,7 @@ last piece. Two pieces may follow each other if undoing their merges, latest fir
 across their border that would have come earlier. The result is that of merging pair by pair.
 
 No piece has a space mark after another character, so words (with the mark before them) are encoded
-each by itself, and a bounded store keeps the words seen last. Runs of marks are the one place where
+each by itself, and a bounded store keeps words. Runs of marks are the one place where
 pieces share a score; words with such a run are merged pair by pair.
 """
 
@@ -20,6 +20,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +29,12 @@ from clauseloom.llm.common import as_bytes, column, fresh, ragged, ship, steps
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
-#: Words kept by a process; past that it goes on with the first half.
+#: Words, and words cut where letters meet other characters, for models whose pieces never mix them.
+WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
+LETTER, OTHER = r"[^\W\d_¹²³]", r"(?:[\d_¹²³]|[^\w▁\n])"
+RUN = re.compile(rf"{MARK}*{LETTER}+|{MARK}*{OTHER}+|{MARK}+|\n")
+MIXED = re.compile(rf"{LETTER}{OTHER}|{OTHER}{LETTER}")
+#: Words, and runs, kept by a process.
 STORE = 700_000
 PAIR_SLOTS = 1 << 20
 BORDER = 0xFF
@@ -81,6 +86,56 @@ def suffix_order(key: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def _words(text: str) -> list[str]:
+    """Keys of a text's words. A plain key stands for a word after a space mark, one from a newline on
+    for itself, and in texts with runs of spaces or odd characters a key can hold the marks (or, after
+    0x01, none)."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or " \n" in text or MARK in text or "\x01" in text:
+        units = WORD.findall(MARK + text.replace(" ", MARK))
+        return [u if u[0] == MARK or u == "\n" else "\x01" + u for u in units]
+    return text.replace("\n", " \n").split(" ")
+
+
+def _spelled(key: str) -> str:
+    first = key[:1]
+    return key if first == "\n" or first == MARK else key[1:] if first == "\x01" else MARK + key
+
+
+class Store:
+    """Piece lists by string; past ``STORE`` strings it goes on with the first half: common ones come early."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def missing(self, used: list[str]) -> list[str]:
+        """What isn't here yet, after making room for it."""
+        new = [w for w in used if w not in self.number]
+        if len(self.number) + len(new) > STORE:
+            n = min(STORE // 2, len(self.number))
+            self.number = dict(islice(self.number.items(), n))
+            self.start, self.count = self.start[:n], self.count[:n]
+            self.flat = self.flat[: int(self.count.sum())]
+            new = [w for w in used if w not in self.number]
+        return new
+
+    def add(self, names: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
+        base = len(self.number)
+        self.number.update(zip(names, range(base, base + len(names)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def gather(self, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of each row, all of them), of rows of so many strings with these numbers."""
+        per = self.count[at]
+        ends = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(length)])]
+        return np.diff(ends), self.flat[ragged(self.start[at], per)]
+
+
 class Vocabulary:
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -95,11 +150,10 @@ class Vocabulary:
         self.score = {i: model.get_score(i) for i in normal}
         self.unknown = n  # a character without a piece; given out as bytes
         self.unk_id = model.unk_id()
+        self.unit = WORD if any(MIXED.search(names[i]) for i in normal) else RUN
         self._decoding(names, special, model)
         self._merging(names, normal)
-        self.words: dict[str, int] = {}
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.words, self.runs = Store(), Store()
         self.pair_key = np.full(PAIR_SLOTS, -1, np.int64)
         self.pair_good = np.zeros(PAIR_SLOTS, bool)
 
@@ -172,12 +226,6 @@ class Vocabulary:
         """A character without a piece: its bytes' pieces, or the unknown piece in a model without them."""
         return [self.byte_id[b] for b in text.encode()] if self.byte_id else [self.unk_id]
 
-    def _keep(self, n: int) -> None:
-        """Forget all words but the first n: common words come early."""
-        self.words = dict(islice(self.words.items(), n))
-        self.start, self.count = self.start[:n], self.count[:n]
-        self.flat = self.flat[: int(self.count.sum())]
-
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of two pieces gives these two pieces; pairs seen lately are kept."""
         key = a * (self.unknown + 1) + b
@@ -223,19 +271,20 @@ class Vocabulary:
         count = hi - lo
         return order[ragged(lo, count)], np.repeat(self.size, count), np.repeat(self.piece, count)
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words and keep them."""
-        slow = [w for w in words if MARK * 2 in w]
-        fast = [w for w in words if MARK * 2 not in w]
-        counts, flat = self._encode(fast)
-        merged = [self.merge(w)[0] for w in slow]
-        counts = np.concatenate([counts, np.array([len(m) for m in merged], np.int64)])
-        flat = np.concatenate([flat, np.array([i for m in merged for i in m], np.int32)])
-        base = len(self.words)
-        self.words.update(zip(fast + slow, range(base, base + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.flat = np.concatenate([self.flat, flat])
+    def _learn(self, words: list[str]) -> None:
+        """Encode words and keep them. They are put together from their runs, and new runs are found
+        with the suffix array."""
+        runs = [self.unit.findall(_spelled(w)) for w in words]
+        new = self.runs.missing(list(set().union(*runs)))
+        if new:
+            slow = [r for r in new if MARK * 2 in r]
+            fast = [r for r in new if MARK * 2 not in r]
+            self.runs.add(fast, *self._encode(fast))
+            merged = [self.merge(r)[0] for r in slow]
+            self.runs.add(slow, np.array([len(m) for m in merged], np.int64), np.array([i for m in merged for i in m], np.int32))
+        length = np.fromiter(map(len, runs), np.int64, len(runs))
+        at = np.fromiter(map(self.runs.number.__getitem__, chain.from_iterable(runs)), np.int64, int(length.sum()))
+        self.words.add(words, *self.runs.gather(length, at))
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of each word, all of them). Words without runs of space marks."""
@@ -299,23 +348,32 @@ class Vocabulary:
                 found[p : p + len(c)] = c
         return np.bincount(owner, minlength=len(raw)), found.astype(np.int32)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces of each text, all of them)."""
-        units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        used = set().union(*units)
-        new = used - self.words.keys()
-        if len(self.words) + len(new) > STORE:
-            self._keep(STORE // 2)
-            new = used - self.words.keys()
-        if new:
-            self.learn(sorted(new))
-        get = self.words.__getitem__
-        length = np.fromiter(map(len, units), np.int64, len(units))
-        number = np.fromiter(map(get, chain.from_iterable(units)), np.int64, int(length.sum()))
-        per = self.count[number]
-        owner = np.repeat(np.arange(len(texts)), length)
-        counts = np.bincount(owner, weights=per, minlength=len(texts)).astype(np.int64)
-        return counts, self.flat[ragged(self.start[number], per)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of each text, all of them). Words are split and numbered by Arrow, so that only a
+        step's distinct words are looked up; texts with odd spaces are split here."""
+        texts = pc.fill_null(texts, "")
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # not UTF-8
+            texts = pa.array([x.decode("utf-8", "replace") for x in as_bytes(texts)])
+        odd = pc.or_(pc.equal(texts, ""), pc.starts_with(texts, " "))
+        for sign in ("  ", " \n", MARK, "\x01"):
+            odd = pc.or_(odd, pc.match_substring(texts, sign))
+        plain = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), " ")
+        odd = odd.to_numpy(zero_copy_only=False)
+        slow = [_words(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        flat = plain.flatten()
+        numbered = pa.concat_arrays([flat, pa.array(list(chain.from_iterable(slow)), flat.type)]).dictionary_encode()
+        length = np.concatenate([plain.value_lengths().to_numpy(zero_copy_only=False), np.fromiter(map(len, slow), np.int64, len(slow))]).astype(np.int64)
+        distinct = numbered.dictionary.to_pylist()
+        if new := self.words.missing(distinct):
+            self._learn(new)
+        at = np.fromiter(map(self.words.number.__getitem__, distinct), np.int64, len(distinct))[numbered.indices.to_numpy(zero_copy_only=False)]
+        # Back to the order of the rows.
+        row = np.empty(len(texts), np.int64)
+        row[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(texts))
+        at = at[ragged((np.cumsum(length) - length)[row], length[row])]
+        return self.words.gather(length[row], at)
 
     def decode(self, counts: np.ndarray, ids: np.ndarray) -> list[str]:
         """Texts of piece lists: marks are spaces, the first one's is taken off, byte pieces are bytes."""
@@ -351,14 +409,15 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> tup
     ship(docs.sparkSession)
     path = model or model_path()
     name, at = fresh(docs, "ids"), len(docs.columns)
+    names = [*docs.columns, name]
     rows = docs.select(*[column(docs, c) for c in docs.columns], column(docs, text).alias(fresh(docs, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(path)
         for batch in steps(batches, at):
-            counts, ids = pieces.encode([x.decode("utf-8", "replace") for x in as_bytes(batch.column(at))])
+            counts, ids = pieces.encode(batch.column(at))
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], [*docs.columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names)
 
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])), name
 
@@ -369,6 +428,7 @@ def decode(rows: DataFrame, ids: str, model: str | None = None) -> tuple[DataFra
     ship(rows.sparkSession)
     path = model or model_path()
     name, at = fresh(rows, "decoded"), len(rows.columns)
+    names = [*rows.columns, name]
     given = rows.select(*[column(rows, c) for c in rows.columns], column(rows, ids).alias(fresh(rows, "list")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +439,7 @@ def decode(rows: DataFrame, ids: str, model: str | None = None) -> tuple[DataFra
                 lists = batch.column(at)
                 counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
                 texts = pieces.decode(counts, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], [*rows.columns, name])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], names)
 
     return given.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])), name
 

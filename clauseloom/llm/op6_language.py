@@ -320,13 +320,14 @@ def predict(docs: DataFrame, field: Field | None, text: str = "text") -> tuple[D
     model = spark.sparkContext.broadcast(field)  # TABLE rows, a row and a lexicon per label
     name, score = fresh(docs, "lang"), fresh(docs, "score")
     at = len(docs.columns)
+    names = [*docs.columns, name, score]
     rows = docs.select(*[column(docs, c) for c in docs.columns], column(docs, text).alias(fresh(docs, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, at):
             texts = [x.decode("utf-8", "replace") for x in as_bytes(batch.column(at))]
             found, sure = judge(model.value, texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, pa.string()), pa.array(sure)], [*docs.columns, name, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, pa.string()), pa.array(sure)], names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
     return rows.mapInArrow(run, schema), name, score

@@ -119,7 +119,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
 def op8_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
     found = scan(docs)
-    count = {k: F.size(F.filter("kinds", lambda x, k=k: x == k)).cast("long").alias(f"n_{k}") for k in KINDS}
+    count = {k: F.expr(f"cast(size(filter(kinds, x -> x = '{k}')) as long)").alias(f"n_{k}") for k in KINDS}
     spans = F.array_join(F.zip_with("kinds", F.zip_with("starts", "ends", lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string"))), lambda k, at: F.concat_ws(":", k, at)), ",")
     return found.select("doc_id", *[count[k] for k in KINDS[:3]], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), count["random"])
 

@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clauseloom.llm.op1_mixing import op1_mixing, op1_sql
+from clauseloom.llm.op2_sentencepiece import op2_sentencepiece
+from clauseloom.llm.op6_language import op6_language
+from clauseloom.llm.op8_secrets import op8_secrets
 from clauseloom.llm.op10_simhash import op10_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +19,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
-    "op10_simhash": lambda spark, sf_dir: op10_simhash(documents(spark, sf_dir)),
+    "op1_mixing": over_documents(op1_mixing),
+    "op2_sentencepiece": over_documents(op2_sentencepiece),
+    "op6_language": over_documents(op6_language),
+    "op8_secrets": over_documents(op8_secrets),
+    "op10_simhash": over_documents(op10_simhash),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mixing": op1_sql()}
