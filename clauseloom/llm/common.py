@@ -7,6 +7,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Bytes of text that one step inside a task works on; a longer text forms a step of its own.
 STEP_BYTES = 4 << 20
 
+#: Strings kept by a store.
+STORE = 700_000
+
 _SHIPPED: set[str] = set()
 
 
@@ -84,3 +88,37 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def hex64(value):
     """16 lowercase hex digits of a long."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+class Store:
+    """Token lists by string, kept by a process; past ``STORE`` strings it goes on with the first half:
+    common ones come early."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def missing(self, used: list[str]) -> list[str]:
+        """What isn't here yet, after making room for it."""
+        new = [w for w in used if w not in self.number]
+        if len(self.number) + len(new) > STORE:
+            n = min(STORE // 2, len(self.number))
+            self.number = dict(islice(self.number.items(), n))
+            self.start, self.count = self.start[:n], self.count[:n]
+            self.flat = self.flat[: int(self.count.sum())]
+            new = [w for w in used if w not in self.number]
+        return new
+
+    def add(self, names: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
+        base = len(self.number)
+        self.number.update(zip(names, range(base, base + len(names)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def gather(self, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of each row, all of them), of rows of so many strings with these numbers."""
+        per = self.count[at]
+        ends = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(length)])]
+        return np.diff(ends), self.flat[ragged(self.start[at], per)]

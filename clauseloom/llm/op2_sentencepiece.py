@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseloom.llm.common import as_bytes, column, fresh, ragged, ship, steps
+from clauseloom.llm.common import Store, as_bytes, column, fresh, ragged, ship, steps
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -34,8 +34,6 @@ WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 LETTER, OTHER = r"[^\W\d_¹²³]", r"(?:[\d_¹²³]|[^\w▁\n])"
 RUN = re.compile(rf"{MARK}*{LETTER}+|{MARK}*{OTHER}+|{MARK}+|\n")
 MIXED = re.compile(rf"{LETTER}{OTHER}|{OTHER}{LETTER}")
-#: Words, and runs, kept by a process.
-STORE = 700_000
 PAIR_SLOTS = 1 << 20
 BORDER = 0xFF
 
@@ -103,39 +101,6 @@ def _spelled(key: str) -> str:
     return key if first == "\n" or first == MARK else key[1:] if first == "\x01" else MARK + key
 
 
-class Store:
-    """Piece lists by string; past ``STORE`` strings it goes on with the first half: common ones come early."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
-
-    def missing(self, used: list[str]) -> list[str]:
-        """What isn't here yet, after making room for it."""
-        new = [w for w in used if w not in self.number]
-        if len(self.number) + len(new) > STORE:
-            n = min(STORE // 2, len(self.number))
-            self.number = dict(islice(self.number.items(), n))
-            self.start, self.count = self.start[:n], self.count[:n]
-            self.flat = self.flat[: int(self.count.sum())]
-            new = [w for w in used if w not in self.number]
-        return new
-
-    def add(self, names: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
-        base = len(self.number)
-        self.number.update(zip(names, range(base, base + len(names)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.flat = np.concatenate([self.flat, flat])
-
-    def gather(self, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces of each row, all of them), of rows of so many strings with these numbers."""
-        per = self.count[at]
-        ends = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(length)])]
-        return np.diff(ends), self.flat[ragged(self.start[at], per)]
-
-
 class Vocabulary:
     def __init__(self, path: str) -> None:
         import sentencepiece

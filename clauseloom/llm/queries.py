@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from clauseloom.llm.op1_mixing import op1_mixing, op1_sql
 from clauseloom.llm.op2_sentencepiece import op2_sentencepiece
 from clauseloom.llm.op6_language import op6_language
+from clauseloom.llm.op7_frames import op7_frames
 from clauseloom.llm.op8_secrets import op8_secrets
+from clauseloom.llm.op9_lines import op9_lines
 from clauseloom.llm.op10_simhash import op10_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +29,9 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": over_documents(op1_mixing),
     "op2_sentencepiece": over_documents(op2_sentencepiece),
     "op6_language": over_documents(op6_language),
+    "op7_frames": over_documents(op7_frames),
     "op8_secrets": over_documents(op8_secrets),
+    "op9_lines": over_documents(op9_lines),
     "op10_simhash": over_documents(op10_simhash),
 }
 
