@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from clauseloom.llm.op1_mixing import op1_mixing, op1_sql
 from clauseloom.llm.op2_sentencepiece import op2_sentencepiece
 from clauseloom.llm.op6_language import op6_language
@@ -26,6 +27,7 @@ def over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
     "op1_mixing": over_documents(op1_mixing),
     "op2_sentencepiece": over_documents(op2_sentencepiece),
     "op6_language": over_documents(op6_language),
@@ -36,3 +38,5 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {"op1_mixing": op1_sql()}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
