@@ -21,7 +21,7 @@ PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 STEP_BYTES = 4 << 20
 
 #: Strings kept by a store.
-STORE = 700_000
+STORE = 250_000
 
 _SHIPPED: set[str] = set()
 

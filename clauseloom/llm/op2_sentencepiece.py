@@ -34,6 +34,8 @@ WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 LETTER, OTHER = r"[^\W\d_¹²³]", r"(?:[\d_¹²³]|[^\w▁\n])"
 RUN = re.compile(rf"{MARK}*{LETTER}+|{MARK}*{OTHER}+|{MARK}+|\n")
 MIXED = re.compile(rf"{LETTER}{OTHER}|{OTHER}{LETTER}")
+#: Strings whose suffixes are sorted together.
+INDEXED = 16_000
 PAIR_SLOTS = 1 << 20
 BORDER = 0xFF
 
@@ -244,7 +246,9 @@ class Vocabulary:
         if new:
             slow = [r for r in new if MARK * 2 in r]
             fast = [r for r in new if MARK * 2 not in r]
-            self.runs.add(fast, *self._encode(fast))
+            for lo in range(0, len(fast), INDEXED):
+                some = fast[lo : lo + INDEXED]
+                self.runs.add(some, *self._encode(some))
             merged = [self.merge(r)[0] for r in slow]
             self.runs.add(slow, np.array([len(m) for m in merged], np.int64), np.array([i for m in merged for i in m], np.int32))
         length = np.fromiter(map(len, runs), np.int64, len(runs))

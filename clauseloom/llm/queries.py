@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from clauseloom.llm.op1_mixing import op1_mixing, op1_sql
 from clauseloom.llm.op2_sentencepiece import op2_sentencepiece
+from clauseloom.llm.op3_neighbours import op3_neighbours
+from clauseloom.llm.op4_repeats import op4_repeats
 from clauseloom.llm.op5_minhash import op5_minhash
 from clauseloom.llm.op6_language import op6_language
 from clauseloom.llm.op7_frames import op7_frames
@@ -31,6 +33,8 @@ QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_mixing": over_documents(op1_mixing),
     "op2_sentencepiece": over_documents(op2_sentencepiece),
+    "op3_neighbours": lambda spark, sf_dir: op3_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+    "op4_repeats": over_documents(op4_repeats),
     "op5_minhash": over_documents(op5_minhash),
     "op6_language": over_documents(op6_language),
     "op7_frames": over_documents(op7_frames),
