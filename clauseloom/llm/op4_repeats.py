@@ -154,12 +154,15 @@ class RunIndex:
         while True:
             alone = head & np.concatenate([head[1:], [True]])
             tied = order[~alone]
+            if width >= n and len(tied):  # nothing but separators follows; any steady order will do
+                order[~alone] = tied[np.lexsort((tied, rank[tied]))]
+                return order
             if not len(tied):
                 return order
-            after = np.full(len(tied), -1, np.int64)
+            after = np.full(len(tied), n, np.int64)  # as if the last separator went on for ever
             inside = tied + width < n
             after[inside] = rank[tied[inside] + width]
-            sort = np.argsort(rank[tied] * np.int64(n + 1) + after + 1)
+            sort = np.argsort(rank[tied] * np.int64(n + 1) + after)
             tied, after = tied[sort], after[sort]
             group = rank[tied]
             opens = np.concatenate([[True], group[1:] != group[:-1]])
