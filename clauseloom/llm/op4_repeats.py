@@ -73,7 +73,7 @@ def _owners(text: np.ndarray, length: int, anchor: int) -> np.ndarray:
         if left:
             values = values[: len(values) - have] * power + values[have:]
             have *= 2
-            power = power * power
+            power = np.uint64(int(power) ** 2 & (1 << 64) - 1)
     mixed = (result ^ result >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
     packed = mixed >> np.uint64(24) << np.uint64(24) | np.arange(len(mixed), dtype=np.uint64)
     width, size = length - anchor + 1, 1
