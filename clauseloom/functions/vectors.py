@@ -1,14 +1,14 @@
 """Vector expressions over ``array<double>`` columns.
 
 With ``dim`` given, a sum over positions is written out term by term, which Spark compiles into the
-stage's generated code; without it the array functions handle any length.
+stage's generated code, and a vector of another length is an error; without it the array functions handle any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import add
+from operator import add, and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,10 +19,16 @@ EPSILON = 1e-5
 
 def _total(a: Column, b: Column, term: Callable[[Column, Column], Column], dim: int | None) -> Column:
     if dim is not None:
-        return reduce(add, [term(a.getItem(i), b.getItem(i)) for i in range(dim)])
+        return _of_length(dim, reduce(add, [term(a.getItem(i), b.getItem(i)) for i in range(dim)]), a, b)
     return F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _of_length(dim: int, value: Column, *vectors: Column) -> Column:
+    """``value``, if all vectors have ``dim`` numbers; null if one is null; else an error."""
+    missing, fits = reduce(or_, [v.isNull() for v in vectors]), reduce(and_, [F.size(v) == dim for v in vectors])
+    return F.when(fits, value).when(missing, None).otherwise(F.raise_error(F.lit(f"a vector without exactly {dim} numbers")).cast("double"))
+
+
 def dot(a: Column, b: Column, dim: int | None = None) -> Column:
     return _total(a, b, lambda x, y: x * y, dim)
 
@@ -50,7 +56,7 @@ def manhattan_distance(a: Column, b: Column, dim: int | None = None) -> Column:
 
 def chebyshev_distance(a: Column, b: Column, dim: int | None = None) -> Column:
     if dim is not None and dim > 1:
-        return F.greatest(*[F.abs(a.getItem(i) - b.getItem(i)) for i in range(dim)])
+        return _of_length(dim, F.greatest(*[F.abs(a.getItem(i) - b.getItem(i)) for i in range(dim)]), a, b)
     return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
 
 

@@ -12,5 +12,5 @@ def encode_labels(df: DataFrame, column: str = "column_1", encoded: str = "colum
     """Sorted distinct strings become 0..k-1. Only the distinct labels are numbered; the join back
     is left to the planner, which broadcasts them when they turn out small."""
     distinct = df.select(column).distinct()
-    codes = row_index(distinct, [], [F.substring(column, 1, 2)], [column], encoded)
+    codes = row_index(distinct, [], [F.substring(column, 1, n) for n in (1, 2, 4)], [column], encoded)
     return df.join(codes.withColumn(encoded, F.col(encoded) - 1), column)

@@ -38,8 +38,9 @@ def score_steps(scored: DataFrame, cells: float = 1024.0) -> DataFrame:
 
     Rows are counted per score first; the cumulative counts then run over blocks of scores, so
     neither the rows nor the distinct scores pass through one task. ``cells`` is the number of
-    blocks per unit of score."""
-    steps = scored.groupBy("score").agg(
+    blocks per unit of score. Rows without a score can't be placed on the curve: they count neither
+    in the steps nor in the totals."""
+    steps = scored.filter(F.col("score").isNotNull()).groupBy("score").agg(
         F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") != 1).cast("long")).alias("neg")
     )
     # Counts per score, made by one pass over the rows and read three times.

@@ -4,10 +4,14 @@ A plain window per meeting puts a whole meeting into one task. Here the caller n
 columns: ascending expressions that are a prefix of the order (``turn div 4096``, an hour, the
 first letters of a word). The window then runs per (key, block), one summary row per block is
 carried across blocks, and the carried value is joined back on (key, block), the partitioning the
-rows already have. A task holds one block; the window across blocks sees one row per block.
+rows already have. A task holds one block.
 
-Block expressions must depend on the row alone, so that a recomputed task cuts the same blocks.
-Key columns must not be null.
+Summary rows are carried one block column at a time, from the last to the first: within equal values
+of the columns before it, a window sees one row per value of one column. Several columns, coarse to
+fine (``meeting div 4096``, ``meeting``, ``anchor div 1024``), keep each of these windows short.
+
+Block expressions must depend on the row alone, so that a recomputed task cuts the same blocks. Null
+keys and null blocks are groups of their own; null blocks come first, as nulls do in the order.
 """
 
 from __future__ import annotations
@@ -36,35 +40,55 @@ def running(
     marks = [f"__b{i}" for i in range(len(block))]
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    source = df.withColumns(dict(zip(marks, block)))
+    # A struct is never null itself and equals a struct with the same nulls: joins and groups by it
+    # keep rows with a null key or block.
+    source = df.withColumns({m: F.struct(c.alias("v")) for m, c in zip(marks, block, strict=True)})
+    source = source.withColumn("__k", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
 
-    within = Window.partitionBy(*keys, *marks).orderBy(*order)
+    within = Window.partitionBy("__k", *marks).orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {f"__s_{n}": F.sum(c).over(upto) for n, c in sums.items()}
     local |= {f"__c_{n}": F.last(c, ignorenulls=True).over(upto) for n, c in carried.items()}
     local |= {f"__p_{n}": F.lag(F.struct(c.alias("v"))).over(within) for n, c in previous.items()}
     rows = source.withColumns(local)
 
-    totals = [F.sum(c).alias(f"__ts_{n}") for n, c in sums.items()]
-    totals += [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__tc_{n}") for n, c in carried.items()]
-    totals += [F.max_by(F.struct(c.alias("v")), at).alias(f"__tp_{n}") for n, c in previous.items()]
-    before = Window.partitionBy(*keys).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        source.groupBy(*keys, *marks)
-        .agg(*totals)
-        .select(
-            *keys,
-            *marks,
-            *[F.coalesce(F.sum(f"__ts_{n}").over(before), F.lit(0)).alias(f"__os_{n}") for n in sums],
-            *[F.last(f"__tc_{n}", ignorenulls=True).over(before).alias(f"__oc_{n}") for n in carried],
-            *[F.last(f"__tp_{n}").over(before).alias(f"__op_{n}") for n in previous],
-        )
-    )
-    final = {n: F.col(f"__s_{n}") + F.col(f"__os_{n}") for n in sums}
+    totals = [F.sum(c).alias(f"__s_{n}") for n, c in sums.items()]
+    totals += [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__c_{n}") for n, c in carried.items()]
+    totals += [F.max_by(F.struct(c.alias("v")), at).alias(f"__p_{n}") for n, c in previous.items()]
+    offsets = _carried(source.groupBy("__k", *marks).agg(*totals), marks, list(sums), list(carried), list(previous))
+    final = {n: F.col(f"__s_{n}") + F.coalesce(f"__os_{n}", F.lit(0)) for n in sums}
     final |= {n: F.coalesce(f"__c_{n}", f"__oc_{n}") for n in carried}
     final |= {n: F.coalesce(f"__p_{n}", f"__op_{n}")["v"] for n in previous}
     kept = [c for c in df.columns if c not in final]
-    return rows.join(offsets, [*keys, *marks]).select(*kept, *[c.alias(n) for n, c in final.items()])
+    return rows.join(offsets, ["__k", *marks]).select(*kept, *[c.alias(n) for n, c in final.items()])
+
+
+def _carried(blocks: DataFrame, marks: Sequence[str], sums: Sequence[str], carried: Sequence[str], previous: Sequence[str]) -> DataFrame:
+    """What comes before each block, from one summary row per block (``__s_`` sums, ``__c_`` latest
+    non-null values, ``__p_`` last rows): ``__os_``, ``__oc_``, ``__op_``."""
+    outer, last = list(marks[:-1]), marks[-1:]
+    before = Window.partitionBy("__k", *outer).orderBy(*last).rowsBetween(Window.unboundedPreceding, -1)
+    inside = blocks.select(
+        "__k",
+        *marks,
+        *[F.sum(f"__s_{n}").over(before).alias(f"__os_{n}") for n in sums],
+        *[F.last(f"__c_{n}", ignorenulls=True).over(before).alias(f"__oc_{n}") for n in carried],
+        *[F.last(f"__p_{n}").over(before).alias(f"__op_{n}") for n in previous],
+    )
+    if not outer:
+        return inside
+    latest = [F.max_by(f"__c_{n}", F.when(F.col(f"__c_{n}").isNotNull(), F.col(last[0]))).alias(f"__c_{n}") for n in carried]
+    latest += [F.max_by(f"__p_{n}", last[0]).alias(f"__p_{n}") for n in previous]
+    groups = blocks.groupBy("__k", *outer).agg(*[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums], *latest)
+    ahead = _carried(groups, outer, sums, carried, previous)
+    names = [f"__o{kind}_{n}" for kind, of in (("s", sums), ("c", carried), ("p", previous)) for n in of]
+    joined = inside.join(ahead.withColumnsRenamed({n: f"{n}_a" for n in names}), ["__k", *outer])
+    both = [
+        *[(F.coalesce(f"__os_{n}", F.lit(0)) + F.coalesce(f"__os_{n}_a", F.lit(0))).alias(f"__os_{n}") for n in sums],
+        *[F.coalesce(f"__oc_{n}", f"__oc_{n}_a").alias(f"__oc_{n}") for n in carried],
+        *[F.coalesce(f"__op_{n}", f"__op_{n}_a").alias(f"__op_{n}") for n in previous],
+    ]
+    return joined.select("__k", *marks, *both)
 
 
 def row_index(df: DataFrame, keys: Sequence[str], block: Sequence[Column], order: Sequence[str | Column], name: str) -> DataFrame:

@@ -16,8 +16,8 @@ def seeded(seed: str, *keys: str | Column) -> Column:
 
 
 def draw(seed: str, n: Column, *keys: str | Column) -> Column:
-    """A whole number in [0, n)."""
-    return F.pmod(F.conv(F.substring(seeded(seed, *keys), 1, 8), 16, 10).cast("long"), n)
+    """A whole number in [0, n), from 60 bits."""
+    return F.pmod(F.conv(F.substring(seeded(seed, *keys), 1, 15), 16, 10).cast("long"), n)
 
 
 def sample_without_replacement(candidates: DataFrame, per: Sequence[str], item: str, k: int, seed: str) -> DataFrame:

@@ -118,9 +118,9 @@ def log2_l2_tfidf(bag: DataFrame, n_docs: DataFrame) -> DataFrame:
     return scaled(weights, ["meeting", "doc"], 2, "doc_len" in bag.columns)
 
 
-def filter_extremes(bag: DataFrame, n_docs: DataFrame, no_below: int = 1, no_above: float = 0.1, keep: int | None = 100000) -> DataFrame:
-    """Vocabulary (meeting, word, df) with no_below <= df <= int(no_above * N), the ``keep`` most
-    frequent of them per meeting."""
+def filter_extremes(bag: DataFrame, n_docs: DataFrame, no_below: int = 1, no_above: float = 0.1, keep: int | None = None) -> DataFrame:
+    """Vocabulary (meeting, word, df) with no_below <= df <= int(no_above * N), all of
+    them or the ``keep`` most frequent per meeting."""
     kept = (
         document_frequency(bag)
         .join(n_docs, "meeting")

@@ -18,7 +18,7 @@ SEED = "s7"
 
 def draw_sql(*keys: str, seed: str = SEED) -> str:
     joined = " || ':' || ".join([f"'{seed}'", *keys])
-    return f"('0x' || substr(md5({joined}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({joined}), 1, 15))::BIGINT"
 
 
 def eligible(spark, sf):
@@ -330,7 +330,7 @@ def numbered_triples(spark, sf):
     def build():
         rows = eligible(spark, sf)
         ids = D.triple_ids_v2(rows, SEED)
-        block = [F.col("meeting"), F.floor(F.col("anchor") / 1024)]
+        block = [F.floor(F.col("meeting") / 4096), F.col("meeting"), F.floor(F.col("anchor") / 1024)]
         return D.ids_to_text(D.numbered_triples(ids, ["meeting", "anchor", "positive"], block), rows, ["anchor", "positive", "other"])
 
     return staged(spark, sf, "triples", build)

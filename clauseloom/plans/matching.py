@@ -13,12 +13,12 @@ from clauseloom.operators.ordered import row_index
 from clauseloom.plans import dialogue as DQ
 from clauseloom.plans import weighting as WQ
 from clauseloom.plans.registry import part, query
-from clauseloom.plans.relations import clauses, titles
+from clauseloom.plans.relations import CHAIR, clauses, titles
 from clauseloom.plans.text import tokens_sql
 from clauseloom.session import staged
 
-# Shorter words of the given texts occur inside almost every title.
-MIN_LEN = 4
+# One-letter words are left out, as everywhere.
+MIN_LEN = 2
 
 part(
     "topic_clauses",
@@ -102,10 +102,11 @@ def word_match_count(spark, sf):
 @query(
     "pair_summary_hits",
     f"""
-    , words AS (SELECT meeting, speaker_name, unnest({tokens_sql('utterance')}) AS word FROM clauses),
+    , said AS (SELECT * FROM clauses WHERE speaker_name <> 'system'),
+    words AS (SELECT meeting, speaker_name, unnest({tokens_sql('utterance')}) AS word FROM said),
     corpus AS (SELECT meeting, word, count(*) AS total FROM words GROUP BY ALL),
-    firsts AS (SELECT meeting, arg_min(speaker_name, id) AS questioner FROM clauses GROUP BY ALL),
-    pairs AS (SELECT DISTINCT c.meeting, f.questioner, c.speaker_name AS respondent FROM clauses c JOIN firsts f ON f.meeting = c.meeting WHERE c.speaker_name <> f.questioner),
+    firsts AS (SELECT meeting, arg_min(speaker_name, id) AS questioner FROM said GROUP BY ALL),
+    pairs AS (SELECT DISTINCT c.meeting, f.questioner, c.speaker_name AS respondent FROM said c JOIN firsts f ON f.meeting = c.meeting WHERE c.speaker_name <> f.questioner),
     scores AS (SELECT p.meeting, p.questioner, p.respondent, w.word, round(count(*) / any_value(t.total), 6) AS ratio
                FROM pairs p JOIN words w ON w.meeting = p.meeting AND w.speaker_name IN (p.questioner, p.respondent)
                JOIN corpus t ON t.meeting = w.meeting AND t.word = w.word GROUP BY ALL),
@@ -116,8 +117,8 @@ def word_match_count(spark, sf):
     "clauses",
 )
 def pair_summary_hits(spark, sf):
-    """Each conversation is one discussion."""
-    rows = clauses(spark, sf).withColumn("discussion", F.lit(0))
+    """Each conversation without its chair is one discussion."""
+    rows = D.without_chair(clauses(spark, sf), CHAIR).withColumn("discussion", F.lit(0))
     scores = W.corpus_ratio(rows)
     return M.pair_summary_hits(D.debater_pairs(DQ.digest(spark, sf)), scores, 5, "ratio", 6)
 
@@ -183,5 +184,5 @@ def greedy_match_by_rank(spark, sf):
 )
 def match_difference(spark, sf):
     rows = titles(spark, sf)
-    hit = M.word_hits(rows, topic_top(spark, sf)).select("meeting", "title_id")
+    hit = M.word_hits(rows, topic_top(spark, sf)).select("meeting", "title_id").distinct()
     return M.match_difference(rows, hit)

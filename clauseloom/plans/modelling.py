@@ -13,7 +13,7 @@ from clauseloom.operators import topics as P
 from clauseloom.operators import vectors as O
 from clauseloom.plans import dialogue as DQ
 from clauseloom.plans.registry import query
-from clauseloom.plans.relations import clauses, digest, table, titles, vectors
+from clauseloom.plans.relations import CHAIR, clauses, digest, titles, vectors
 from clauseloom.session import new_path, staged
 
 EPS = 0.02
@@ -66,16 +66,18 @@ def noun_tokens():
 
 @query("lda_bow")
 def lda_bow(spark, sf):
-    """Each conversation is one discussion, its first replies give the title pairs."""
-    pairs = D.title_first_reply(digest(spark, sf)).withColumnRenamed("id", "title_id")
-    rows = clauses(spark, sf).withColumn("discussion", F.lit(0))
-    # The conversations have few titles, so words of every document are kept.
-    words = P.lda_bow(rows, pairs, noun_tokens(), no_above=1.0, rounds=4)
+    """Each conversation without its chair is one discussion, its first replies give the title pairs."""
+    rows = digest(spark, sf)
+    pairs = D.title_first_reply(rows).withColumnRenamed("id", "title_id")
+    said = D.without_chair(clauses(spark, sf), CHAIR).withColumn("discussion", F.lit(0))
+    every = rows.filter(F.col("kind") == D.TITLE).select("meeting", F.col("id").alias("title_id"))
+    # A conversation has a few documents, each of which is more than a tenth of them: no word is left out.
+    words = P.lda_bow(said, pairs, noun_tokens(), no_above=1.0, titles=every)
     return P.topic_top_words(words, None)
 
 
 def tfidf_topics(spark, sf):
-    return staged(spark, sf, "tfidf_topics", lambda: P.lda_tfidf(clauses(spark, sf), titles(spark, sf), noun_tokens(), rounds=4))
+    return staged(spark, sf, "tfidf_topics", lambda: P.lda_tfidf(clauses(spark, sf), titles(spark, sf), noun_tokens()))
 
 
 @query("lda_tfidf")
@@ -95,21 +97,35 @@ def token_docs(spark, sf):
 @query("topic_distribution")
 def topic_distribution(spark, sf):
     docs = token_docs(spark, sf)
-    made = P.topic_distribution(P.fit_topic_distribution(docs, "words", 8, 5), docs)
+    made = P.topic_distribution(P.fit_topic_distribution(docs, "words", 8), docs)
     return made.select("meeting", "id", F.posexplode("prob").alias("topic", "share"))
 
 
+def saved(spark, sf):
+    docs = token_docs(spark, sf)
+    path = new_path(spark, "model")
+    model = P.fit_topic_distribution(docs, "words", 4)
+    K.save_model(model, path)
+    return docs, model, path
+
+
 @query("save_model")
-@query("load_model")
 def save_model(spark, sf):
     """The shares of a model that was written and loaded again."""
-    docs = token_docs(spark, sf)
-    path = new_path(spark, "model")
-    K.save_model(P.fit_topic_distribution(docs, "words", 4, 3), path)
+    docs, _, path = saved(spark, sf)
     made = P.topic_distribution(K.load_model(path), docs)
     return made.select("meeting", "id", F.posexplode("prob").alias("topic", "share"))
 
 
+@query("load_model", "SELECT count(*) AS clauses, 0::BIGINT AS different FROM clauses", "clauses")
+def load_model(spark, sf):
+    """Clauses, and those to which the loaded model gives other shares than the one that was saved."""
+    docs, model, path = saved(spark, sf)
+    one, other = P.topic_distribution(model, docs), P.topic_distribution(K.load_model(path), docs)
+    different = K.shares_differ(one, other, ["meeting", "id"], "prob")
+    return docs.agg(F.count("*").alias("clauses")).crossJoin(different.agg(F.count("*").alias("different")))
+
+
 @query("pair_classifier")
 def pair_classifier(spark, sf):
     """Adjacent clauses against clauses drawn elsewhere, told apart by their mean word vectors."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -33,12 +34,12 @@ _OWN: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a ``local`` session may fall back to a
+    A cluster names it in ``spark.checkpoint.dir``. Only a ``local`` session, one process, may fall back to a
     folder of this machine; anywhere else an unset folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         named = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="clauseloom-")
         _OWN[spark.sparkContext.applicationId] = named
@@ -70,16 +71,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_STAGED: dict[tuple[str, str, str], str] = {}
+_STAGED: dict[tuple[str, str, str], tuple[tuple, str]] = {}
+
+
+def file_versions(spark: SparkSession, source: str) -> tuple:
+    """Path, size and time of change of every data file below ``source``, without reading any."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(source)
+    return tuple(sorted((r.path, r.length, r.modificationTime) for r in files.select("path", "length", "modificationTime").collect()))
 
 
 def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A relation that several queries start from, written once per application and source folder
-    and read from there afterwards, with the reader's pushdown and column pruning."""
-    key = (spark.sparkContext.applicationId, source, name)
-    if key not in _STAGED:
+    """A relation that several queries start from, written once per state of the source folder's files
+    and read from there afterwards, with the reader's pushdown and column pruning. When a file of the
+    folder is added, replaced or removed, the relation is built anew."""
+    key, now = (spark.sparkContext.applicationId, source, name), file_versions(spark, source)
+    if key not in _STAGED or _STAGED[key][0] != now:
         df = build()
         path = new_path(spark, name)
         df.write.parquet(path)
-        _STAGED[key] = path
-    return spark.read.parquet(_STAGED[key])
+        _STAGED[key] = (now, path)
+    return spark.read.parquet(_STAGED[key][1])

@@ -66,3 +66,22 @@ def test_totals_and_top_rows(spark, events):
     assert top.filter("k = 'hot'").count() == 2 and top.filter("k = 'one'").count() == 1
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("coarse", [2, 50, 10**6])
+def test_blocks_of_blocks_and_nulls(spark, coarse):
+    rnd = random.Random(3)
+    data = [(rnd.choice(["a", "b", None]), i if i % 11 else None, i, rnd.choice([None, f"v{i}"])) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, at long, tie long, v string")
+    block = [F.floor(F.col("at") / coarse), F.floor(F.col("at") / 7), F.col("at")]
+    found = running(df, ["k"], block, ["at", "tie"], {"n": F.lit(1)}, {"last": F.col("v")}, {"prev": F.col("tie")})
+    w = Window.partitionBy("k").orderBy("at", "tie")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.select("k", "tie", F.count("*").over(upto).alias("n"), F.last("v", True).over(upto).alias("last"), F.lag("tie").over(w).alias("prev"))
+    assert found.count() == 300
+    assert rows(found, "k", "tie", "n", "last", "prev") == rows(plain, "k", "tie", "n", "last", "prev")
+
+
+def test_draws_have_sixty_bits(spark):
+    many = spark.range(200).select(S.draw("s", F.lit(10**17), "id").alias("d")).agg(F.max("d")).first()[0]
+    assert many > 2**33
