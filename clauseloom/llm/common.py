@@ -91,10 +91,11 @@ def hex64(value):
 
 
 class Store:
-    """Token lists by string, kept by a process; past ``STORE`` strings it goes on with the first half:
-    common ones come early."""
+    """Token lists by string, kept by a process; past its limit it goes on with the first half: common
+    strings come early."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int | None = None) -> None:
+        self.limit = limit or STORE
         self.number: dict[str, int] = {}
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
@@ -102,8 +103,8 @@ class Store:
     def missing(self, used: list[str]) -> list[str]:
         """What isn't here yet, after making room for it."""
         new = [w for w in used if w not in self.number]
-        if len(self.number) + len(new) > STORE:
-            n = min(STORE // 2, len(self.number))
+        if len(self.number) + len(new) > self.limit:
+            n = min(self.limit // 2, len(self.number))
             self.number = dict(islice(self.number.items(), n))
             self.start, self.count = self.start[:n], self.count[:n]
             self.flat = self.flat[: int(self.count.sum())]

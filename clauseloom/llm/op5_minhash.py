@@ -94,12 +94,14 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         place = F.when(F.col("doc_id").isNull(), place).otherwise(F.size(F.filter(steps_, lambda b: b > F.col("doc_id").cast("double"))))
     rows = named.withColumn("range", place)
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
-    # At most RANGES + 1 rows: the first document of each range, and the range before it.
-    first = rows.groupBy("range").agg(F.max(order).alias("top"))
-    before = F.expr("coalesce(lag(range) over (order by range), max(range) over ())")
-    heads = first.select(F.col("range").alias("own"), before.alias("to"), "top")
-    extra = rows.join(heads, F.col("range") == F.col("own")).filter(order == F.col("top"))
-    extra = extra.groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("last"))
+    # At most RANGES + 1 rows come here: the first document of each range, and the range before it.
+    first = sorted(rows.groupBy("range").agg(F.max(order).alias("top")).collect())
+    if not first:
+        return rows.withColumn("last", F.lit(False)).select("doc_id", "text", "range", "last")
+    heads = [(r["range"], first[k - 1]["range"], r.top.id, r.top.h) for k, r in enumerate(first)]
+    heads = F.broadcast(docs.sparkSession.createDataFrame(heads, "own int, to int, id long, h long"))
+    found = rows.join(heads, (F.col("range") == F.col("own")) & (order == F.struct("id", "h")))
+    extra = found.groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("last"))
     dealt = rows.withColumn("last", F.lit(False)).unionByName(extra)
     return dealt.repartition("range").sortWithinPartitions("range", "last", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
 

@@ -13,9 +13,11 @@ that is run again leaves at most an unlisted file behind.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,24 +53,38 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Words whose runs the vocabulary's own pattern cuts like RUNS, once they are in lower case: letters of
+#: Latin-1, digits, and other ASCII signs but the apostrophe, which may bind letters.
+SIMPLE = re.compile(r"[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]+")
+RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Strings that a process keeps: words, and runs.
+WORDS_KEPT, RUNS_KEPT = 300_000, 250_000
+
+
 class Encoder:
     """The library's ids of whole texts. Its vocabulary drops white space and never joins words over
-    it, so distinct words are encoded once and kept; other spaces than blanks and newlines stay in a
-    word and are the library's matter."""
+    it, nor runs of letters, single digits and runs of other signs over each other, so distinct words
+    are put together from distinct runs, which the library encodes once. Words that aren't simple, and
+    spaces other than blanks and newlines, are the library's matter as they stand."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.words = Store()
+        self.words, self.runs = Store(WORDS_KEPT), Store(RUNS_KEPT)
 
     def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 20_000):
-            some = words[lo : lo + 20_000]
+        runs = [RUNS.findall(w.lower()) if SIMPLE.fullmatch(w) else [w] for w in words]
+        new = self.runs.missing(list(set().union(*runs)))
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
             found = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
             counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)) if found.ids else np.zeros(len(some), np.int64)
-            self.words.add(some, counts, np.array(found.ids, np.int32))
+            self.runs.add(some, counts, np.array(found.ids, np.int32))
+        length = np.fromiter(map(len, runs), np.int64, len(runs))
+        at = np.fromiter(map(self.runs.number.__getitem__, chain.from_iterable(runs)), np.int64, int(length.sum()))
+        self.words.add(words, *self.runs.gather(length, at))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of each text, all of them)."""
@@ -77,7 +93,8 @@ class Encoder:
             texts.validate(full=True)
         except pa.ArrowInvalid:  # not UTF-8
             texts = pa.array([x.decode("utf-8", "replace") for x in as_bytes(texts)])
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        # The vocabulary is in lower case: A to Z can be lowered first, so that fewer words differ.
+        split = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
         numbered = split.flatten().dictionary_encode()
         distinct = numbered.dictionary.to_pylist()
         if new := self.words.missing(distinct):
@@ -242,7 +259,7 @@ def read_frames(files: DataFrame) -> DataFrame:
     """(doc_id, start, data) of all documents of the listed files; start counts the tokens of all
     documents before. Raises if a frame or a table is damaged."""
     ship(files.sparkSession)
-    rows = files.select("path", "base").repartition("path")
+    rows = files.select("path", "base").repartition(max(1, files.count()), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +311,7 @@ def read_some(files: DataFrame, wanted: DataFrame) -> DataFrame:
                 source.close()
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(data, pa.binary())], ["doc_id", "start", "data"])
 
-    found = files.select("path", "base").repartition("path").mapInArrow(index, "path string, frame long, doc_id long, start long")
+    found = files.select("path", "base").repartition(max(1, files.count()), "path").mapInArrow(index, "path string, frame long, doc_id long, start long")
     found = found.join(wanted.select("doc_id").distinct(), "doc_id").select("path", "frame", "doc_id", "start")
     return found.repartition("path").sortWithinPartitions("path", "frame").mapInArrow(fetch, "doc_id long, start long, data binary")
 
