@@ -123,3 +123,93 @@ class Store:
         per = self.count[at]
         ends = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(length)])]
         return np.diff(ends), self.flat[ragged(self.start[at], per)]
+
+
+class HashStore:
+    """Token lists of strings that are known by 128 bits of hash only, so that a million take little
+    memory and whole Arrow arrays are looked up at once. When it is full it starts anew."""
+
+    BITS = 21
+
+    def __init__(self, limit: int = 1 << 20) -> None:
+        self.limit = limit
+        rng = np.random.default_rng(5)
+        self._mix = [rng.integers(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+        self._base = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+        self._power = [np.ones(1, np.uint64)] * 2
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.check = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.uint64)
+        self.at = np.zeros(1 << self.BITS, np.int32)
+        self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def hashes(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        size = pc.binary_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = np.frombuffer(b"".join(strings.cast(pa.binary()).to_pylist()) if strings.offset else strings.buffers()[2] or b"", np.uint8)[: int(size.sum())]
+        start = np.cumsum(size) - size
+        place = np.arange(len(data)) - np.repeat(start, size)
+        has = size > 0
+        out = []
+        for mix, base, k in zip(self._mix, self._base, range(2), strict=True):
+            need = int(size.max(initial=0))
+            if len(self._power[k]) < need:
+                self._power[k] = np.cumprod(np.concatenate([[1], np.full(2 * need, base, np.uint64)]).astype(np.uint64))
+            value = size.astype(np.uint64)
+            if len(data):
+                value[has] += np.add.reduceat(mix[data] * self._power[k][place], start[has])
+            value = (value ^ value >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+            out.append((value ^ value >> np.uint64(32)) | np.uint64(1 - k))  # the first is never 0
+        return out[0], out[1]
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Numbers of the known ones, -1 for the others."""
+        out = np.full(len(first), -1, np.int64)
+        live, slot = np.arange(len(first)), (first >> np.uint64(64 - self.BITS)).astype(np.int64)
+        while len(live):
+            key = self.key[slot]
+            hit = (key == first[live]) & (self.check[slot] == second[live])
+            out[live[hit]] = self.at[slot[hit]]
+            on = ~hit & (key != 0)
+            live, slot = live[on], (slot[on] + 1) & (1 << self.BITS) - 1
+        return out
+
+    def room(self, new: int) -> bool:
+        """Whether so many fit; if not, everything is forgotten first."""
+        if len(self.count) + new <= self.limit:
+            return True
+        self._forget()
+        return False
+
+    def add(self, first: np.ndarray, second: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        number = len(self.count) + np.arange(len(first))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
+        self.count, self.flat = np.concatenate([self.count, counts]), np.concatenate([self.flat, flat])
+        if len(self.count) > 1 << self.BITS - 1:
+            return  # one step has more strings than the table: they serve this step only
+        live, slot = np.arange(len(first)), (first >> np.uint64(64 - self.BITS)).astype(np.int64)
+        while len(live):
+            free = self.key[slot] == 0
+            _, one = np.unique(slot[free], return_index=True)
+            take = np.flatnonzero(free)[one]
+            self.key[slot[take]], self.check[slot[take]], self.at[slot[take]] = first[live[take]], second[live[take]], number[live[take]]
+            left = np.ones(len(live), bool)
+            left[take] = False
+            live, slot = live[left], slot[left]
+            slot = np.where(self.key[slot] == 0, slot, (slot + 1) & (1 << self.BITS) - 1)
+
+    def numbers(self, strings: pa.Array, learn) -> np.ndarray:
+        """The number of each of some distinct strings. ``learn`` gives the token lists (counts, all
+        tokens) of those that aren't here."""
+        first, second = self.hashes(strings)
+        at = self.find(first, second)
+        new = np.flatnonzero(at < 0)
+        if len(new) and not self.room(len(new)):
+            new = np.arange(len(first))
+        if len(new):
+            base = len(self.count)
+            self.add(first[new], second[new], *learn(strings.take(pa.array(new)).to_pylist()))
+            at[new] = base + np.arange(len(new))
+        return at
+
+    gather = Store.gather

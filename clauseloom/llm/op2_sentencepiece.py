@@ -8,7 +8,7 @@ last piece. Two pieces may follow each other if undoing their merges, latest fir
 across their border that would have come earlier. The result is that of merging pair by pair.
 
 No piece has a space mark after another character, so words (with the mark before them) are encoded
-each by itself, and a bounded store keeps words. Runs of marks are the one place where
+each by itself, and bounded stores keep words and their runs. Runs of marks are the one place where
 pieces share a score; words with such a run are merged pair by pair.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseloom.llm.common import Store, as_bytes, column, fresh, ragged, ship, steps
+from clauseloom.llm.common import HashStore, Store, as_bytes, column, fresh, ragged, ship, steps
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -120,7 +120,7 @@ class Vocabulary:
         self.unit = WORD if any(MIXED.search(names[i]) for i in normal) else RUN
         self._decoding(names, special, model)
         self._merging(names, normal)
-        self.words, self.runs = Store(), Store()
+        self.words, self.runs = HashStore(), Store()
         self.pair_key = np.full(PAIR_SLOTS, -1, np.int64)
         self.pair_good = np.zeros(PAIR_SLOTS, bool)
 
@@ -238,9 +238,9 @@ class Vocabulary:
         count = hi - lo
         return order[ragged(lo, count)], np.repeat(self.size, count), np.repeat(self.piece, count)
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words and keep them. They are put together from their runs, and new runs are found
-        with the suffix array."""
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of each word, all of them). Words are put together from their runs, and new runs
+        are found with the suffix array."""
         runs = [self.unit.findall(_spelled(w)) for w in words]
         new = self.runs.missing(list(set().union(*runs)))
         if new:
@@ -253,7 +253,7 @@ class Vocabulary:
             self.runs.add(slow, np.array([len(m) for m in merged], np.int64), np.array([i for m in merged for i in m], np.int32))
         length = np.fromiter(map(len, runs), np.int64, len(runs))
         at = np.fromiter(map(self.runs.number.__getitem__, chain.from_iterable(runs)), np.int64, int(length.sum()))
-        self.words.add(words, *self.runs.gather(length, at))
+        return self.runs.gather(length, at)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of each word, all of them). Words without runs of space marks."""
@@ -334,10 +334,7 @@ class Vocabulary:
         flat = plain.flatten()
         numbered = pa.concat_arrays([flat, pa.array(list(chain.from_iterable(slow)), flat.type)]).dictionary_encode()
         length = np.concatenate([plain.value_lengths().to_numpy(zero_copy_only=False), np.fromiter(map(len, slow), np.int64, len(slow))]).astype(np.int64)
-        distinct = numbered.dictionary.to_pylist()
-        if new := self.words.missing(distinct):
-            self._learn(new)
-        at = np.fromiter(map(self.words.number.__getitem__, distinct), np.int64, len(distinct))[numbered.indices.to_numpy(zero_copy_only=False)]
+        at = self.words.numbers(numbered.dictionary, self._learn)[numbered.indices.to_numpy(zero_copy_only=False)]
         # Back to the order of the rows.
         row = np.empty(len(texts), np.int64)
         row[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(texts))

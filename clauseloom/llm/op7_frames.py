@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import Store, as_bytes, column, ship, steps
+from clauseloom.llm.common import HashStore, Store, as_bytes, column, ship, steps
 from clauseloom.session import cut_lineage, new_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -57,8 +57,6 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 #: Latin-1, digits, and other ASCII signs but the apostrophe, which may bind letters.
 SIMPLE = re.compile(r"[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]+")
 RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-#: Strings that a process keeps: words, and runs.
-WORDS_KEPT, RUNS_KEPT = 300_000, 250_000
 
 
 class Encoder:
@@ -72,9 +70,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.words, self.runs = Store(WORDS_KEPT), Store(RUNS_KEPT)
+        self.words, self.runs = HashStore(), Store()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         runs = [RUNS.findall(w.lower()) if SIMPLE.fullmatch(w) else [w] for w in words]
         new = self.runs.missing(list(set().union(*runs)))
         for lo in range(0, len(new), 20_000):
@@ -84,7 +82,7 @@ class Encoder:
             self.runs.add(some, counts, np.array(found.ids, np.int32))
         length = np.fromiter(map(len, runs), np.int64, len(runs))
         at = np.fromiter(map(self.runs.number.__getitem__, chain.from_iterable(runs)), np.int64, int(length.sum()))
-        self.words.add(words, *self.runs.gather(length, at))
+        return self.runs.gather(length, at)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of each text, all of them)."""
@@ -96,10 +94,7 @@ class Encoder:
         # The vocabulary is in lower case: A to Z can be lowered first, so that fewer words differ.
         split = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
         numbered = split.flatten().dictionary_encode()
-        distinct = numbered.dictionary.to_pylist()
-        if new := self.words.missing(distinct):
-            self._learn(new)
-        at = np.fromiter(map(self.words.number.__getitem__, distinct), np.int64, len(distinct))[numbered.indices.to_numpy(zero_copy_only=False)]
+        at = self.words.numbers(numbered.dictionary, self._learn)[numbered.indices.to_numpy(zero_copy_only=False)]
         return self.words.gather(split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), at)
 
 
