@@ -154,7 +154,9 @@ class HashStore:
         for mix, base, k in zip(self._mix, self._base, range(2), strict=True):
             need = int(size.max(initial=0))
             if len(self._power[k]) < need:
-                self._power[k] = np.cumprod(np.concatenate([[1], np.full(2 * need, base, np.uint64)]).astype(np.uint64))
+                factors = np.full(2 * need + 1, base, np.uint64)
+                factors[0] = 1
+                self._power[k] = np.cumprod(factors)
             value = size.astype(np.uint64)
             if len(data):
                 value[has] += np.add.reduceat(mix[data] * self._power[k][place], start[has])
