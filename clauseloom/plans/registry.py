@@ -53,5 +53,5 @@ def query(name: str, check: str | None = None, *needs: str) -> Callable[[Query],
 
 
 def load_all() -> None:
-    for module in ("text", "dialogue", "io", "weighting", "vectorial", "matching", "modelling"):
+    for module in ("text", "dialogue", "io", "weighting", "vectorial", "matching", "modelling", "flow"):
         importlib.import_module(f"clauseloom.plans.{module}")
