@@ -112,7 +112,8 @@ def is_boundary(speaker: Column, text: Column, chairs: Sequence[str] = CHAIR_NAM
 
 
 def not_chair(speaker: Column, chairs: Sequence[str] = CHAIR_NAMES) -> Column:
-    return ~speaker.isin(*chairs)
+    """True for everyone else, also for a speaker without a name."""
+    return F.coalesce(~speaker.isin(*chairs), F.lit(True))
 
 
 def contains_word(text: Column, word: Column) -> Column:

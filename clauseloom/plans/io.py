@@ -38,7 +38,7 @@ def read_headerless(spark, sf):
 
 @query(
     "read_meetings",
-    "SELECT count(*) AS turns, sum(length(text))::BIGINT AS chars FROM turns",
+    "SELECT h.half, speaker_name, text FROM turns, (SELECT unnest(['assembly', 'digest']) AS half) h",
     "turns",
 )
 def read_meetings(spark, sf):
@@ -50,8 +50,11 @@ def read_meetings(spark, sf):
     )
     nested.select(F.to_json(F.struct("assembly", "digest")).alias("value")).write.text(path)
     found = T.read_meetings(spark, path, prefix="part-", multi_line=False)
-    text = F.col("assembly.utterances")[0]["utterance"][0]
-    return found.agg(F.count("*").alias("turns"), F.sum(F.length(text).cast("long")).alias("chars"))
+    named = found.filter("meeting like 'part-%'")
+    said = F.explode("assembly.utterances").alias("u")
+    left = named.select(said).select(F.lit("assembly").alias("half"), F.col("u.speaker").alias("speaker_name"), F.explode("u.utterance").alias("text"))
+    right = named.select(F.explode("digest.speakers").alias("s")).select(F.lit("digest").alias("half"), "s.speaker_name", F.col("s.summury").alias("text"))
+    return left.unionByName(right)
 
 
 @query("read_vectors", "SELECT 'all' AS meeting, vec_id AS id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
@@ -68,15 +71,16 @@ def read_vectors(spark, sf):
 
 @query(
     "write_vectors",
-    "SELECT meeting, count(*) AS lines, round(sum(vec[1]), 6) AS first_sum FROM vectors GROUP BY meeting",
+    "SELECT meeting, pos, count(*) AS lines, round(sum(x), 6) AS total FROM (SELECT meeting, unnest(vec) AS x, unnest(range(0, len(vec))) AS pos FROM vectors) GROUP BY meeting, pos",
     "vectors",
 )
 def write_vectors(spark, sf):
     path = new_path(spark, "vectors")
     TV.write_vectors(vectors(spark, sf), path)
     lines = spark.read.text(path)
-    first = F.element_at(F.split("value", ","), 1).cast("double")
-    return lines.groupBy("meeting").agg(F.count("*").alias("lines"), F.round(F.sum(first), 6).alias("first_sum"))
+    each = lines.select("meeting", F.posexplode(F.split("value", ",")).alias("pos", "x"))
+    made = each.groupBy("meeting", "pos").agg(F.count("*").alias("lines"), F.round(F.sum(F.col("x").cast("double")), 6).alias("total"))
+    return made.withColumn("pos", F.col("pos").cast("long"))
 
 
 def stored_texts(spark, sf):

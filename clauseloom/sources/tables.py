@@ -26,29 +26,30 @@ def extension(path: str) -> str:
     return base[base.rindex(".") :] if "." in base else ""
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None, has_header: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None, has_header: bool = False, multi_line: bool = True, infer: bool = True) -> DataFrame:
     """Choose the reader by the exact extension of the path; an unknown one is an error.
 
-    The path may be a file or a folder written by ``write_table``. With a schema nothing is read
-    twice for inference."""
+    The path may be a file or a folder written by ``write_table``. With a schema, or with ``infer``
+    off (columns are text), nothing is read twice. A file whose fields may hold line breaks is read
+    by one task; with ``multi_line`` off it is split, and JSON has one document a line."""
     kind = extension(path)
     if kind in SEPARATORS:
-        reader = spark.read.options(**TEXT_OPTIONS, multiLine=True, nullValue=NOTHING, header=has_header, sep=SEPARATORS[kind], inferSchema=schema is None)
+        reader = spark.read.options(**TEXT_OPTIONS, multiLine=multi_line, nullValue=NOTHING, header=has_header, sep=SEPARATORS[kind], inferSchema=infer and schema is None)
         if schema:
             reader = reader.schema(schema)
         df = reader.csv(path)
         return df if has_header or schema else df.toDF(*[f"column_{i}" for i in range(1, len(df.columns) + 1)])
     if kind == ".json":
-        reader = spark.read.option("multiLine", True)
+        reader = spark.read.option("multiLine", multi_line)
         return (reader.schema(schema) if schema else reader).json(path)
     raise ValueError(f"no reader for {kind!r}: {path}")
 
 
-def read_headerless(spark: SparkSession, path: str, columns: int | None = None) -> DataFrame:
+def read_headerless(spark: SparkSession, path: str, columns: int | None = None, multi_line: bool = True) -> DataFrame:
     """Columns ``column_1`` to ``column_n`` as text."""
     if columns is not None:
-        return read_table(spark, path, ", ".join(f"column_{i} string" for i in range(1, columns + 1)))
-    return read_table(spark, path)
+        return read_table(spark, path, ", ".join(f"column_{i} string" for i in range(1, columns + 1)), multi_line=multi_line)
+    return read_table(spark, path, multi_line=multi_line, infer=False)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -65,7 +66,7 @@ def read_meetings(spark: SparkSession, folder: str, prefix: str = MEETING_PREFIX
     return raw.select(file_stem(F.col("_metadata.file_name")).alias("meeting"), "assembly", "digest")
 
 
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str], spread: int = 1, mode: str = "errorifexists") -> None:
+def write_partitioned(df: DataFrame, path: str, by: Sequence[str], spread: int = 16, mode: str = "errorifexists") -> None:
     """One folder per key combination, files of bounded size inside.
 
     Rows go to ``spread`` tasks per key, so a key with most of the rows is not written by one."""
