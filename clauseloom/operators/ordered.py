@@ -110,20 +110,34 @@ def with_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]
     return df.join(per_key, list(keys))
 
 
-# Rows of one key that one task may pair with the other side's rows of that key.
+# Rows of one key and side that one task may pair with the other side's rows of that key.
 PAIRED_ROWS = 20_000
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", rows: int = PAIRED_ROWS) -> DataFrame:
-    """Join two sides that both have many rows per key.
-
-    A key with more than ``rows`` left rows is dealt out in pieces, and its right rows are copied to
-    each piece, so that the pairs of a hot key are made by many tasks. Every pair is made exactly
-    once; keys below the bound, usually all, have one piece and are joined as they are."""
-    hot = left.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("__pieces")).filter(F.col("__pieces") > 1)
-    pieces = F.coalesce("__pieces", F.lit(1))
-    mark = F.pmod(F.xxhash64(*[c for c in left.columns if c not in keys]), pieces).cast("int")
-    dealt = left.join(hot, list(keys), "left").withColumn("__piece", mark).drop("__pieces")
-    copies = F.explode(F.sequence(F.lit(0), pieces - 1))
-    copied = right.join(hot, list(keys), "left").withColumn("__piece", copies).drop("__pieces")
-    return dealt.join(copied, [*keys, "__piece"], how).drop("__piece")
+    """Join (``inner`` or ``left``) two sides that both may have many rows per key.
+
+    Either side of a key with more than ``rows`` rows is dealt out in pieces, and each of its pieces
+    is copied to every piece of the other side, so that the pairs of a hot key, wherever it is hot,
+    are made by a grid of tasks. Every pair is made exactly once; keys below the bound, usually all,
+    have one piece on each side."""
+    if how not in ("inner", "left"):
+        raise ValueError("inner and left joins can be split")
+
+    def pieces(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+
+    hot = pieces(left, "__pl").join(pieces(right, "__pr"), list(keys)).filter("__pl > 1 or __pr > 1")
+
+    def dealt(side: DataFrame, own: str, other: str, at: str, across: str) -> DataFrame:
+        mine, theirs = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        place = F.pmod(F.xxhash64(*[c for c in side.columns if c not in keys]), mine).cast("int")
+        spread = side.join(hot, list(keys), "left").withColumns({at: place, across: F.sequence(F.lit(0), theirs - 1)})
+        return spread.withColumn(across, F.explode(across)).drop("__pl", "__pr")
+
+    grid = [*keys, "__i", "__j"]
+    pairs = dealt(left, "__pl", "__pr", "__i", "__j").join(dealt(right, "__pr", "__pl", "__j", "__i"), grid).drop("__i", "__j")
+    if how == "inner":
+        return pairs
+    alone = left.join(right.select(*keys).distinct(), list(keys), "left_anti")
+    return pairs.unionByName(alone, allowMissingColumns=True)

@@ -57,6 +57,24 @@ def test_split_join_makes_every_pair_once(spark, how, size):
     left = spark.createDataFrame([("hot", i) for i in range(20)] + [("cold", 1), ("alone", 2)], "k string, a long")
     right = spark.createDataFrame([("hot", i) for i in range(11)] + [("cold", 7), ("unused", 3)], "k string, b long")
     assert rows(split_join(left, right, ["k"], how, size), "k", "a", "b") == rows(left.join(right, "k", how), "k", "a", "b")
+    # The same with the many rows on the right.
+    assert rows(split_join(right, left, ["k"], how, size), "k", "a", "b") == rows(right.join(left, "k", how), "k", "a", "b")
+
+
+def test_a_hot_side_is_dealt_out(spark):
+    few = spark.createDataFrame([("hot", i) for i in range(3)], "k string, a long")
+    many = spark.range(300).selectExpr("'hot' as k", "id as b")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for one, other in ((few, many), (many, few)):
+            made = split_join(one, other, ["k"], rows=10).withColumn("part", F.spark_partition_id())
+            assert made.count() == 900 and made.select("part").distinct().count() > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_totals_and_top_rows(spark, events):
