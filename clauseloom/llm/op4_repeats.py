@@ -249,13 +249,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     (from, to) their windows cover, in no order and overlapping."""
     ship(docs.sparkSession)
     every = context_rows(docs, length, anchor)
-    often = every.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
+    # Written, here and below, so that a join can split an anchor that many documents share.
+    often = cut_lineage(every.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"))
     some = cut_lineage(every.join(often, "anchor"))
     row = F.xxhash64("id", "tid", "at")
     same = cut_lineage(some.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(row).alias("one")))
     kinds = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("copies") == 1, 1).otherwise(0)).alias("single"))
     mixed = cut_lineage(kinds.filter("kinds > 1 and single > 0").select("anchor", "kinds"))
-    # Both sides of these joins are written tables, so that a context many documents share can be split.
     copied = some.join(same.filter("copies > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"])
     whole = copied.select("id", "tid", F.col("at").alias("from"), (F.col("at") + F.col("n") - 1 + length).alias("to"))
     open_ = cut_lineage(same.join(mixed, "anchor").select("anchor", "c1", "c2", "one", "kinds", "copies"))
