@@ -21,7 +21,7 @@ PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 STEP_BYTES = 4 << 20
 
 #: Strings kept by a store.
-STORE = 250_000
+STORE = 150_000
 
 _SHIPPED: set[str] = set()
 
@@ -126,12 +126,12 @@ class Store:
 
 
 class HashStore:
-    """Token lists of strings that are known by 128 bits of hash only, so that a million take little
+    """Token lists of strings that are known by 128 bits of hash only, so that half a million take little
     memory and whole Arrow arrays are looked up at once. When it is full it starts anew."""
 
-    BITS = 21
+    BITS = 20
 
-    def __init__(self, limit: int = 1 << 20) -> None:
+    def __init__(self, limit: int = 1 << 19) -> None:
         self.limit = limit
         rng = np.random.default_rng(5)
         self._mix = [rng.integers(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]

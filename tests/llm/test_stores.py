@@ -13,7 +13,7 @@ def learn(words):
     return np.array([len(w) % 4 for w in words], np.int64), np.array([ord(c) for w in words for c in (w * 4)[: len(w) % 4]], np.int32)
 
 
-@pytest.mark.parametrize("limit,bits", [(1 << 20, 21), (40, 7), (300, 9)])
+@pytest.mark.parametrize("limit,bits", [(1 << 19, 20), (40, 7), (300, 9)])
 def test_numbers_and_tokens(limit, bits, monkeypatch):
     monkeypatch.setattr(HashStore, "BITS", bits)
     store, rng = HashStore(limit), random.Random(limit)
