@@ -35,7 +35,7 @@ LETTER, OTHER = r"[^\W\d_¹²³]", r"(?:[\d_¹²³]|[^\w▁\n])"
 RUN = re.compile(rf"{MARK}*{LETTER}+|{MARK}*{OTHER}+|{MARK}+|\n")
 MIXED = re.compile(rf"{LETTER}{OTHER}|{OTHER}{LETTER}")
 #: Strings whose suffixes are sorted together.
-INDEXED = 16_000
+INDEXED = 8_000
 PAIR_SLOTS = 1 << 20
 BORDER = 0xFF
 
@@ -380,7 +380,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(path)
-        for batch in steps(batches, at):
+        for batch in steps(batches, at, 2 << 20):
             counts, ids = pieces.encode(batch.column(at))
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names)

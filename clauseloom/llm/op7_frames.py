@@ -75,8 +75,8 @@ class Encoder:
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         runs = [RUNS.findall(w.lower()) if SIMPLE.fullmatch(w) else [w] for w in words]
         new = self.runs.missing(list(set().union(*runs)))
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
+        for lo in range(0, len(new), 4000):
+            some = new[lo : lo + 4000]
             found = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
             counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)) if found.ids else np.zeros(len(some), np.int64)
             self.runs.add(some, counts, np.array(found.ids, np.int32))
@@ -114,7 +114,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        for batch in steps(batches, 1):
+        for batch in steps(batches, 1, 1 << 20):
             counts, ids = words.encode(batch.column(1))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id).astype("<u4")
