@@ -6,7 +6,8 @@ each function is one component of the signature. The share of equal components o
 estimates the Jaccard similarity of the shingle sets.
 
 For near duplicates signatures are cut into bands. Documents are joined in Spark with the first
-document of each of their bands, and the Jaccard similarity is verified on the shingles themselves.
+document of each of their bands, then with those of their bands that this didn't tie to them, and the
+Jaccard similarity is verified on the shingles themselves. Classes are the components of these links.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import as_bytes, column, ship, steps
+from clauseloom.llm.components import components
 from clauseloom.session import cut_lineage
 
 SHINGLE = 5
@@ -29,6 +31,10 @@ SEED = 7
 #: Bands of a signature: at a similarity of 0.8, with 32 bands of 4, all but 5e-8 of pairs share one.
 BANDS = 32
 THRESHOLD = 0.8
+#: Rows on either side of a cell in which followers of a band are compared, and the deviations that an
+#: estimate may lie below the threshold and still be verified.
+CELL = 512
+SURE = 6
 #: Ranges of ids that texts are dealt into to meet the next one.
 RANGES = 512
 
@@ -108,7 +114,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, signature, edited_signature (binary, big-endian), near_edited,
-    near_next), one row per row.
+    near_next, mark (hash of the set of shingles)), one row per row.
 
     The next document is that of the next smaller id, after the smallest the first; alone, a document
     follows itself. A null text is empty; two texts without words are alike (1). Rows that repeat an
@@ -118,19 +124,20 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def work(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
         out = []
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, tuple[np.ndarray, int]] = {}
 
-        def of(x: str) -> np.ndarray:
+        def of(x: str) -> tuple[np.ndarray, int]:
             if x not in known:
-                known[x] = signature(shingles(x.encode()))
+                found = shingles(x.encode())
+                known[x] = signature(found), _mark(found)
             return known[x]
 
         for i, x, following in pairs:
             changed = edited(x, following)
-            own, other, after = of(x), signature(shingles(changed.encode())), of(following)
-            out.append((i, len(x), hashlib.sha256(changed.encode()).hexdigest(), own.astype(">u4").tobytes(), other.astype(">u4").tobytes(), likeness(own, other), likeness(own, after)))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
-        names = ["doc_id", "n_chars", "edited_sha256", "signature", "edited_signature", "near_edited", "near_next"]
+            (own, mark), other, (after, _) = of(x), signature(shingles(changed.encode())), of(following)
+            out.append((i, len(x), hashlib.sha256(changed.encode()).hexdigest(), own.astype(">u4").tobytes(), other.astype(">u4").tobytes(), likeness(own, other), likeness(own, after), mark))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64()]
+        names = ["doc_id", "n_chars", "edited_sha256", "signature", "edited_signature", "near_edited", "near_next", "mark"]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,57 +151,209 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 held = None if last else (i, x)
             yield work(pairs)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, signature binary, edited_signature binary, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, signature binary, edited_signature binary, near_edited double, near_next double, mark long"
     return with_next(docs, doc_id, text).mapInArrow(run, schema)
 
 
-def leaders(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """(doc_id, leader_id, jaccard): for each row the most similar leader with a verified Jaccard
-    similarity of ``threshold`` or more, itself (1.0) if there is none; ties go to the smaller id.
+def _marks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, mark): a hash of each row's set of shingles."""
 
-    The leader of a band is the smallest id that has it, so a document has at most ``bands``
-    candidates, however many share its bands, and documents with equal shingles are looked up once.
-    Links between two followers are not followed. Null or empty texts have no bands and lead
-    themselves, as do rows without an id. Rows that repeat give repeated rows, no rows give none.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 1):
+            marks = [_mark(shingles(x)) for x in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "mark"])
+
+    named = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), column(docs, text).alias("text"))
+    return named.mapInArrow(run, "doc_id long, mark long")
+
+
+def _nodes(docs: DataFrame, doc_id: str, text: str, bands: int) -> DataFrame:
+    """(mark, id, bands, sketch) of every set of shingles, with the least id that has it, written. A
+    band is a hash of its components, ``sketch`` has a byte of each component. Sets without shingles
+    have no bands."""
     ship(docs.sparkSession)
     named = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), column(docs, text).alias("text"))
     width = FUNCTIONS // bands
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1):
-            found = [shingles(x) for x in as_bytes(batch.column(1))]
-            raw = [s.astype("<u4").tobytes() for s in found]
-            keys = []
-            for s in found:
-                sig = signature(s).astype("<u4")
-                keys.append([_key(sig[k * width : (k + 1) * width].tobytes(), k) for k in range(bands)] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(x, bands) for x in raw], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(raw, pa.binary())], ["doc_id", "mark", "bands", "shingles"])
-
-    each = cut_lineage(named.mapInArrow(sets, "doc_id long, mark long, bands array<long>, shingles binary"))
-    top = cut_lineage(each.groupBy("mark").agg(F.min("doc_id").alias("node")))
-    # One row for each set of shingles; written, so that a set many documents share can be split below.
-    some = each.join(top, (each.mark == top.mark) & (each.doc_id == top.node)).select("node", "bands", "shingles")
-    nodes = cut_lineage(some.dropDuplicates(["node"]))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    first = cut_lineage(banded.groupBy("band").agg(F.min("node").alias("leader")))
-    pairs = banded.join(first, "band").filter("leader < node").select("node", "leader").distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marks, keys, sketches = [], [], []
+            for x in as_bytes(batch.column(1)):
+                found = shingles(x)
+                sig = signature(found).astype("<u4")
+                marks.append(_mark(found))
+                keys.append([_key(sig[k * width : (k + 1) * width].tobytes(), k) >> 32 for k in range(bands)] if len(found) else [])
+                sketches.append(sig.astype("u1").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], ["doc_id", "mark", "bands", "sketch"])
+
+    every = named.mapInArrow(run, "doc_id long, mark long, bands array<int>, sketch binary")
+    # Rows of one set have equal bands and sketches, so any of them will do; copies meet before the shuffle.
+    return cut_lineage(every.groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+
+
+def _sets(docs: DataFrame, text: str, need: DataFrame) -> DataFrame:
+    """(mark, shingles) of the marks in ``need``, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 0):
+            found = [shingles(x) for x in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([_mark(s) for s in found], pa.int64()), pa.array([s.astype("<u4").tobytes() for s in found], pa.binary())], ["mark", "shingles"])
+
+    made = docs.select(column(docs, text).alias("text")).mapInArrow(run, "mark long, shingles binary")
+    return made.join(need, "mark", "left_semi").groupBy("mark").agg(F.first("shingles").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, jaccard) of the pairs of marks whose sets reach ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 value.append(both / (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64())], ["node", "leader", "jaccard"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64())], ["u", "v", "jaccard"])
+
+    full = pairs.join(sets.select(F.col("mark").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("mark").alias("v"), F.col("shingles").alias("b")), "v")
+    return full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, jaccard double").filter(F.col("jaccard") >= threshold)
+
+
+def _across(least: int):
+    """Streams rows (band, a, b, side, node, label, sketch) sorted by cell (band, a, b). Gives the pairs
+    of a row of side 0 and one of side 1 that have different labels and ``least`` equal bytes."""
+
+    def meet(side: np.ndarray, node: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in one.tolist():
+            other = two[label[two] != label[k]]
+            near = other[(sketch[other] == sketch[k]).sum(axis=1) >= least]
+            us.append(np.full(len(near), node[k]))
+            vs.append(node[near])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def cells(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key = np.stack([rows.column(k).to_numpy() for k in range(3)])
+            edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            edges = [0, *edges.tolist(), *([rows.num_rows] if last else [])]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                some = rows.slice(lo, hi - lo)
+                side, node, label = (some.column(k).to_numpy() for k in (3, 4, 5))
+                sketch = np.frombuffer(b"".join(some.column(6).to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
+                yield meet(side, node, label, sketch)
+            held = [] if last else rows.slice(edges[-1]).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                yield from cells(False)
+        if held:
+            yield from cells(True)
+
+    return run
+
+
+def _rest(shared: DataFrame, nodes: DataFrame, label: DataFrame, least: int) -> DataFrame:
+    """(u, v): the pairs of followers of a band that have different labels and may be similar.
+
+    Of each band, followers outside its commonest label meet all of its followers, in cells of about
+    ``CELL`` rows a side, so that many tasks make the pairs of a hot band. Pairs with the band's leader
+    are not repeated.
+    """
+    named = shared.filter("leader.mark <> mark").join(label.withColumnRenamed("node", "mark"), "mark", "left").select("band", "mark", F.coalesce("label", "mark").alias("label"))
+    named = cut_lineage(named)
+    count = named.groupBy("band", "label").agg(F.count("*").alias("n"))
+    open_ = count.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    parts = lambda n: F.ceil(n / CELL).cast("int")
+    open_ = cut_lineage(open_.select("band", F.col("top.label").alias("major"), parts(F.col("all")).alias("nb"), parts(F.col("all") - F.col("top.n")).alias("na")))
+    rows = named.join(open_, "band").join(nodes.select("mark", "sketch"), "mark")
+    rows = cut_lineage(rows.select("band", F.col("mark").alias("node"), "label", "sketch", "major", "na", "nb"))
+    place = F.xxhash64("node")
+    one = rows.filter("label <> major").withColumns({"a": F.pmod(place, F.col("na")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("nb") - 1)), "side": F.lit(0)})
+    two = rows.withColumns({"b": F.pmod(place, F.col("nb")).cast("int"), "a": F.explode(F.sequence(F.lit(0), F.col("na") - 1)), "side": F.lit(1)})
+    names = ["band", "a", "b", "side", "node", "label", "sketch"]
+    cells = one.select(names).union(two.select(names)).repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
+    return cells.mapInArrow(_across(least), "u long, v long").distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(edges, labels): verified links (u, v, jaccard) between marks of ``nodes``, and (node, label) of
+    their components, in which all marks are that any chain of links of ``threshold`` or more joins.
+
+    First each set meets the leader of each of its bands, the one of the least id. What then has
+    different labels in a band is compared too, followers with followers, so that the components are
+    those of all pairs that share a band. Sketches leave out pairs that are ``SURE`` deviations below.
+    """
+    banded = nodes.select("mark", "id", F.posexplode("bands").alias("k", "band"))
+    banded = banded.select("mark", "id", F.expr("shiftleft(cast(k as bigint), 32) | (band & 4294967295)").alias("band"))
+    # Only bands are shuffled whole; what meets no other set stays where it is.
+    twice = cut_lineage(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"))
+    members = cut_lineage(banded.join(twice, "band"))
+    key = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "mark")
+    first = cut_lineage(members.groupBy("band").agg(F.min(key).alias("leader")))
+    shared = cut_lineage(members.join(first, "band").select("band", "mark", "leader"))
+    sets = cut_lineage(_sets(docs, text, shared.select("mark").distinct()))
+    stars = shared.filter("leader.mark <> mark").select(F.col("leader.mark").alias("u"), F.col("mark").alias("v"))
+    near = cut_lineage(_verified(stars.distinct(), sets, threshold))
+    label = cut_lineage(components(near))
+    least = int(FUNCTIONS * threshold - SURE * (FUNCTIONS * threshold * (1 - threshold)) ** 0.5)
+    more = cut_lineage(_verified(_rest(shared, nodes, label, least), sets, threshold))
+    if more.isEmpty():
+        return near, label
+    return near.union(more), cut_lineage(components(near.union(more)))
+
+
+def _classes(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """(mark, class_id, n_class, own): the least id of each set's component, the number of its sets, and
+    the least id of the set itself."""
+    of = nodes.select("mark", "id").join(label.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
+    top = of.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("n_class"))
+    return cut_lineage(of.join(top, "label").select("mark", "class_id", "n_class", F.col("id").alias("own")))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """(doc_id, class_id): the smallest id that a chain of links reaches from each row, where a link is
+    a verified Jaccard similarity of ``threshold`` or more.
+
+    At the defaults a link is missed if its texts share no band: 5e-8 of pairs at 0.8, fewer above.
+    Texts without words are one class. Rows that repeat give repeated rows; class_id is null only if
+    no row of a class has an id. No rows give none.
+    """
+    nodes = _nodes(docs, doc_id, text, bands)
+    _, label = links(docs, nodes, text, threshold)
+    return _marks(docs, doc_id, text).join(_classes(nodes, label), "mark").select("doc_id", "class_id")
+
+
+def leaders(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """(doc_id, leader_id, jaccard, class_id): for each row the most similar row of a smaller id among
+    its verified links, itself (1.0) if there is none, and its class as in ``classes``. Ties go to the
+    smaller id, and copies lead to the smallest id of their set.
+
+    Links are those of ``links``: enough for all classes, not all pairs of a class. Texts without words
+    lead themselves, as do rows without an id in a set that has none. Rows that repeat give repeated
+    rows, no rows give none.
+    """
+    nodes = _nodes(docs, doc_id, text, bands)
+    edges, label = links(docs, nodes, text, threshold)
+    id_of = nodes.select("mark", "id")
+    known = edges.join(id_of.toDF("u", "x"), "u").join(id_of.toDF("v", "y"), "v")
+    down = known.filter("x < y").select(F.col("v").alias("mark"), F.col("x").alias("to"), "jaccard")
+    down = down.union(known.filter("y < x").select("u", "y", "jaccard"))
+    best = down.groupBy("mark").agg(F.max(F.struct("jaccard", (-F.col("to")).alias("minus"))).alias("b")).select("mark", (-F.col("b.minus")).alias("leader"), "b.jaccard")
+    of = cut_lineage(_classes(nodes, label).join(best, "mark", "left"))
+    empty = F.col("mark") == _mark(np.zeros(0, np.uint64))
+    return _marks(docs, doc_id, text).join(of, "mark").select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("leader", "own")).alias("leader_id"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"), "class_id")
+
 
-    full = pairs.join(nodes.select("node", F.col("shingles").alias("a")), "node").join(nodes.select(F.col("node").alias("leader"), F.col("shingles").alias("b")), "leader")
-    sure = full.select("node", "leader", "a", "b").mapInArrow(verify, "node long, leader long, jaccard double").filter(F.col("jaccard") >= threshold)
-    best = sure.groupBy("node").agg(F.max(F.struct("jaccard", (-F.col("leader")).alias("minus"))).alias("b")).select("node", (-F.col("b.minus")).alias("leader"), "b.jaccard")
-    of = cut_lineage(top.join(best, "node", "left").select("mark", "node", "leader", "jaccard"))
-    found = each.join(of, "mark", "left")
-    return found.select("doc_id", F.coalesce("leader", F.when(F.col("doc_id").isNotNull() & (F.size("bands") > 0), F.col("node")), "doc_id").alias("leader_id"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
+def _mark(found: np.ndarray) -> int:
+    return _key(found.astype("<u4").tobytes(), FUNCTIONS)
 
 
 def _key(raw: bytes, seed: int) -> int:
@@ -203,6 +362,8 @@ def _key(raw: bytes, seed: int) -> int:
 
 def op5_minhash(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex of the signature),
-    near_edited, near_next."""
-    found = fingerprints(docs)
-    return found.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("signature")).alias("fingerprint"), F.lower(F.hex("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
+    near_edited, near_next, class_id (see ``classes``), n_class (different sets of shingles in it)."""
+    nodes = _nodes(docs, "doc_id", "text", BANDS)
+    _, label = links(docs, nodes)
+    found = fingerprints(docs).join(_classes(nodes, label), "mark")
+    return found.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("signature")).alias("fingerprint"), F.lower(F.hex("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id", "n_class")

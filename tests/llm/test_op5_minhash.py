@@ -115,3 +115,55 @@ def test_leaders(make_docs):
         if near:
             assert r.leader_id < r.doc_id
     assert M.leaders(make_docs([])).collect() == []
+
+
+def similar_rows():
+    """Chains and stars of edited copies, whose members are similar to each other and not to the first."""
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(5000)]
+    rows, i = [], 0
+    for n, size in ((12, 60), (8, 200), (30, 120)):
+        for _ in range(4):
+            text = [rng.choice(words) for _ in range(size)]
+            start = list(text)
+            for k in range(n):
+                rows.append((i, " ".join(text)))
+                i += 1
+                text = list(text if k % 3 else start)
+                for _ in range(max(1, size // 80)):
+                    at = rng.randrange(len(text))
+                    text[at : at + 1] = [rng.choice(words)] * rng.randrange(1, 3)
+    ids = list(range(i))
+    rng.shuffle(ids)
+    return [(ids[k], t) for k, t in rows] + [(5000, None), (5001, "")]
+
+
+def true_classes(rows):
+    """By Jaccard similarity of all pairs."""
+    found = [(i, sets(t)) for i, t in sorted(rows)]
+    label = {i: i for i, _ in found}
+    pairs = [(a, b) for k, (b, y) in enumerate(found) for a, x in found[:k] if jaccard(x, y) >= 0.8]
+    for a, b in pairs:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = {i: new if g == old else g for i, g in label.items()}
+    return label, pairs
+
+
+def test_every_pair_is_in_one_class(make_docs, monkeypatch):
+    rows = similar_rows()
+    want, pairs = true_classes(rows)
+    assert len(pairs) > 150 and len(set(want.values())) < len(rows) - 80
+    got = {r.doc_id: r.class_id for r in M.op5_minhash(make_docs(rows)).collect()}
+    assert got == want
+    monkeypatch.setattr(M, "CELL", 3)  # several cells a band
+    assert {r.doc_id: r.class_id for r in M.leaders(make_docs(rows)).collect()} == want
+
+
+def test_followers_of_a_hot_band_are_compared(make_docs, monkeypatch):
+    """With equal bands everywhere all meet one leader, who is like none of them."""
+    monkeypatch.setattr(M, "CELL", 5)
+    plain = M._key
+    monkeypatch.setattr(M, "_key", lambda raw, seed: 0 if seed < M.BANDS else plain(raw, seed))
+    rows = [(i + 1, t) for i, t in similar_rows()[:60]] + [(0, "a leader that is like no other text here")]
+    got = {r.doc_id: r.class_id for r in M.classes(make_docs(rows)).collect()}
+    assert got == true_classes(rows)[0]
