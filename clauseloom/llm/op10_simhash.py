@@ -234,11 +234,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     return each.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: of each component the row of the
     smallest id stays, once if it is repeated. Rows without an id stay, as no decision can name them.
+    ``groups`` (doc_id and the component's smallest id) takes the place of ``near_groups``.
     """
-    groups = near_groups(docs.filter(column(docs, doc_id).isNotNull()), doc_id, text, threshold)
+    if groups is None:
+        groups = near_groups(docs.filter(column(docs, doc_id).isNotNull()), doc_id, text, threshold)
+    groups = groups.toDF("doc_id", *groups.columns[1:-1], "component_id")
     key, order = fresh(docs, "key"), fresh(docs, "order")
     stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     kept = docs.join(stay, column(docs, doc_id) == F.col(key), "left_semi")

@@ -8,6 +8,7 @@ import sentencepiece
 
 import corpus_pipeline as P
 from clauseloom.llm import op1_mixing, op2_sentencepiece, op6_language, op9_lines, op10_simhash
+from test_op5_minhash import similar_rows, true_classes
 from test_op6_language import WORDS
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,3 +107,16 @@ def test_empty_table(spark, tmp_path):
 def test_without_files(spark):
     docs = spark.createDataFrame([(1, "the end", "en", "src0", 7)], DOCUMENT)
     assert [tuple(r)[:6] for r in P.encode(spark, docs, "").collect()] == [(1, "en", "src0", None, None, 2)]
+
+
+def test_near_copies_against_true_jaccard(make_docs):
+    """Copies of five-word Jaccard similarity 0.8 and more go, whatever bits of SimHash they differ in."""
+    rows = similar_rows()
+    want, pairs = true_classes(rows)
+    text = dict(rows)
+    fp = {i: op10_simhash.fingerprint((t or "").encode()) for i, t in rows}
+    assert sum((fp[a] ^ fp[b]).bit_count() > 2 and text[a] != text[b] for a, b in pairs) > 100
+    shout = [(i + 6000, t.upper()) for i, t in rows[:20]]
+    got = P.near_copies(None, make_docs([*rows, *shout, (None, rows[0][1])]), "").collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(set(want.values()))
+    assert sum(r.doc_id is None for r in got) == 1
