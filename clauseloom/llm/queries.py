@@ -17,6 +17,9 @@ from clauseloom.llm.op7_frames import op7_frames
 from clauseloom.llm.op8_secrets import op8_secrets
 from clauseloom.llm.op9_lines import op9_lines
 from clauseloom.llm.op10_simhash import op10_simhash
+from clauseloom.llm.op11_negatives import OP11_SQL, op11_negatives
+from clauseloom.llm.op12_resampling import op12_resampling, op12_sql
+from clauseloom.llm.op13_licenses import op13_licenses, op13_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,8 +44,11 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": over_documents(op8_secrets),
     "op9_lines": over_documents(op9_lines),
     "op10_simhash": over_documents(op10_simhash),
+    "op11_negatives": lambda spark, sf_dir: op11_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+    "op12_resampling": op12_resampling,
+    "op13_licenses": over_documents(op13_licenses),
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": op1_sql()}
+ORACLES: dict[str, str] = {"op1_mixing": op1_sql(), "op11_negatives": OP11_SQL.strip(), "op12_resampling": op12_sql().strip(), "op13_licenses": op13_sql().strip()}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
