@@ -70,41 +70,44 @@ def word_array(text: Column, lowered: bool = True) -> Column:
     return F.array_remove(F.split(source, BETWEEN), "")
 
 
-def _pairs(hashes: Column, apart: int) -> Column:
-    """Hashes of runs, from those of the runs they begin and, ``apart`` words later, end with."""
-    n = F.greatest(F.size(hashes) - apart, F.lit(0))
-    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(1 + apart), n), lambda a, b: F.xxhash64(a, b))
+def _pairs(runs: Column, apart: int) -> Column:
+    """Runs of words, from those that they begin and, ``apart`` words later, end with."""
+    n = F.greatest(F.size(runs) - apart, F.lit(0))
+    return F.zip_with(F.slice(runs, F.lit(1), n), F.slice(runs, F.lit(1 + apart), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def _grams(df: DataFrame, of: str) -> DataFrame:
-    """(all columns, k, at, h): the hash of every run of PHRASE_RUN and of NOTICE_RUN words of the array
-    column ``of``, and where it begins."""
-    one = df.withColumn("_one", F.transform(of, lambda w: F.xxhash64(w)))
-    two = one.withColumn("_two", _pairs(F.col("_one"), PHRASE_RUN // 2))
-    both = two.withColumn("_all", F.concat("_two", _pairs(F.col("_two"), NOTICE_RUN // 2)))
-    rows = both.select(*df.columns, F.size("_two").alias("_n"), F.posexplode("_all").alias("_at", "h"))
+    """(all columns but ``of``, k, at, run, h): every run of PHRASE_RUN and of NOTICE_RUN words of the
+    array column ``of``, where it begins, and its hash. What is unfolded is as long as the text, so no
+    row may hold the array."""
+    keep = [c for c in df.columns if c != of]
+    two = df.select(*keep, _pairs(F.col(of), PHRASE_RUN // 2).alias("_two"))
+    both = two.select(*keep, F.size("_two").alias("_n"), F.concat("_two", _pairs(F.col("_two"), NOTICE_RUN // 2)).alias("_all"))
+    # The outer form keeps the planner from adding a test for empty arrays, for which it would make
+    # them once more; empty ones give a null run, which equals none.
+    rows = both.select(*keep, "_n", F.posexplode_outer("_all").alias("_at", "run"))
     short = F.col("_at") < F.col("_n")
-    return rows.select(*df.columns, F.when(short, PHRASE_RUN).otherwise(NOTICE_RUN).alias("k"), F.when(short, F.col("_at")).otherwise(F.col("_at") - F.col("_n")).alias("at"), "h")
+    return rows.select(*keep, F.when(short, PHRASE_RUN).otherwise(NOTICE_RUN).alias("k"), F.when(short, F.col("_at")).otherwise(F.col("_at") - F.col("_n")).alias("at"), "run", F.xxhash64("run").alias("h"))
 
 
 def templates(spark: SparkSession, phrases: list[tuple[str, str]], notices: list[tuple[str, str]]) -> DataFrame:
-    """(t, label, base, length, p, run, th, tk): a row for each run of each template, of PHRASE_RUN
+    """(t, label, base, length, p, known, th): a row for each run of each template, of PHRASE_RUN
     words in a phrase and of NOTICE_RUN words in a notice."""
     rows = [(t, label, t < len(phrases), text) for t, (text, label) in enumerate([*phrases, *notices])]
     size = sum(len(r[3]) for r in rows) // 2 + len(rows)  # words at most
     if size > TEMPLATE_WORDS:
         raise ValueError(f"templates may have {TEMPLATE_WORDS} words, as they are broadcast")
     made = spark.createDataFrame(rows, "t int, label string, base boolean, text string")
-    made = made.select("t", "label", "base", word_array(F.col("text")).alias("w"))
+    made = made.select("t", "label", "base", word_array(F.col("text")).alias("w")).withColumn("length", F.size("w"))
     grams = _grams(made, "w").filter(F.col("k") == F.when(F.col("base"), PHRASE_RUN).otherwise(NOTICE_RUN))
-    return grams.select("t", "label", "base", F.size("w").alias("length"), F.col("at").alias("p"), F.slice("w", F.col("at") + 1, F.col("k")).alias("run"), F.col("h").alias("th"), F.col("k").alias("tk"))
+    return grams.select("t", "label", "base", "length", F.col("at").alias("p"), F.col("run").alias("known"), F.col("h").alias("th"))
 
 
 def hits(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(k1, k2, t, label, base, length, diagonal, p): where a run of words of a text is one of a
     template, each place once for all equal texts."""
     grams = _grams(docs.select("k1", "k2", word_array(F.col("text")).alias("w")), "w")
-    met = grams.join(F.broadcast(known), (F.col("h") == F.col("th")) & (F.col("k") == F.col("tk"))).filter(F.slice("w", F.col("at") + 1, F.col("k")) == F.col("run"))
+    met = grams.join(F.broadcast(known), F.col("h") == F.col("th")).filter(F.col("run") == F.col("known"))
     return met.select("k1", "k2", "t", "label", "base", "length", (F.col("at") - F.col("p")).alias("diagonal"), "p").distinct()
 
 
@@ -178,10 +181,10 @@ WITH template(t, label, base, text) AS (VALUES
   FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM tw)
 ), d AS (SELECT doc_id, {cut} AS w FROM documents),
 dg AS (
-  SELECT doc_id, k, i - 1 AS at, array_to_string(w[i:i + k - 1], ' ') AS run
+  SELECT doc_id, k, i - 1 AS place, array_to_string(w[i:i + k - 1], ' ') AS run
   FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES ({PHRASE_RUN}), ({NOTICE_RUN})) ks(k) WHERE len(w) >= k)
 ), votes AS (
-  SELECT doc_id, t, label, base, length, at - p AS diagonal, count(*) AS votes, list(p) AS ps
+  SELECT doc_id, t, label, base, length, place - p AS diagonal, count(*) AS votes, list(p) AS ps
   FROM dg JOIN tg USING (k, run) GROUP BY ALL
 ), opened AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= {GAP} THEN 0 ELSE 1 END AS opens FROM votes WHERE NOT base
