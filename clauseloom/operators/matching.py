@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.text import contains_word
 from clauseloom.operators.ordered import split_join, top_rows
+from clauseloom.session import cut_lineage
 
 
 def top_words(scores: DataFrame, n: int = 5, keys: Sequence[str] = ("meeting", "cluster"), score: str = "weight", digits: int | None = None) -> DataFrame:
@@ -89,20 +90,40 @@ def _take_free(edges: Column) -> Column:
     return F.aggregate(edges, start, step, lambda state: state["kept"])
 
 
-def _greedy(edges: DataFrame, order: Sequence[str], sizes: DataFrame) -> DataFrame:
-    """Greedy matching over ordered edges (meeting, cluster_no, title_no, rank, word).
+#: Edges of a meeting that one step walks through in sequence.
+WALKED = 4096
 
-    Only the first k edges of a cluster can matter, k being the meeting's number of clusters: when
-    the k-th fails too, k other clusters would have to hold k titles. Dropping the rest is exact
-    and leaves at most k*k edges of a meeting, however many titles it has, for the one step that
-    has to go through them in sequence."""
+
+def _greedy(edges: DataFrame, order: Sequence[str], sizes: DataFrame, walked: int | None = None) -> DataFrame:
+    """Greedy matching over ordered edges (meeting, cluster_no, title_no, rank, word), in rounds.
+
+    A round walks through the first ``walked`` edges of each meeting; the clusters and titles they take
+    then take all their other edges with them, by anti-joins, and the next round goes on with what is
+    left. That is the walk through all edges, but no task holds more than a round's edges of a meeting.
+    Only the first k edges of a cluster can matter, k being the meeting's number of clusters: when the
+    k-th fails too, k other clusters would have to hold k titles."""
+    walked = walked or WALKED
     by_cluster = Window.partitionBy("meeting", "cluster_no").orderBy(*order)
     few = edges.join(sizes, "meeting").withColumn("nth", F.row_number().over(by_cluster)).filter(F.col("nth") <= F.col("k"))
+    left = cut_lineage(few.select("meeting", "cluster_no", "title_no", "rank", "word"))
     # Sorting compares the struct's fields in turn, so the order columns come first.
     fields = [*order, *[c for c in ("cluster_no", "title_no", "rank", "word") if c not in order]]
-    listed = few.groupBy("meeting").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("edges"))
-    kept = listed.select("meeting", F.inline(_take_free(F.col("edges"))))
-    return kept.select("meeting", "cluster_no", "title_no", "rank", "word")
+    taken: DataFrame | None = None
+    while True:
+        place = F.row_number().over(Window.partitionBy("meeting").orderBy(*order))
+        ahead = left.withColumn("nth", place).filter(F.col("nth") <= walked)
+        listed = ahead.groupBy("meeting").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("edges"))
+        kept = listed.select("meeting", F.element_at("edges", -1).alias("last"), F.inline(_take_free(F.col("edges"))))
+        kept = cut_lineage(kept.select("meeting", "cluster_no", "title_no", "rank", "word", "last"))
+        taken = kept if taken is None else taken.unionByName(kept)
+        # What comes after the walked edges; every walk takes an edge, so a meeting with any is among them.
+        ends = kept.groupBy("meeting").agg(F.first("last").alias("last"))
+        rest = left.join(ends, "meeting").filter(F.struct(*fields) > F.col("last"))
+        for end in ("cluster_no", "title_no"):
+            rest = rest.join(kept.select("meeting", end), ["meeting", end], "left_anti")
+        left = cut_lineage(rest.select(*left.columns))
+        if left.isEmpty():
+            return taken.select("meeting", "cluster_no", "title_no", "rank", "word")
 
 
 def cluster_numbers(words: DataFrame) -> DataFrame:

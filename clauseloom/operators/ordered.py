@@ -20,6 +20,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from clauseloom.session import cut_lineage
 
 
 def running(
@@ -117,21 +120,25 @@ PAIRED_ROWS = 20_000
 def split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", rows: int = PAIRED_ROWS) -> DataFrame:
     """Join (``inner`` or ``left``) two sides that both may have many rows per key.
 
-    Either side of a key with more than ``rows`` rows is dealt out in pieces, and each of its pieces
-    is copied to every piece of the other side, so that the pairs of a hot key, wherever it is hot,
-    are made by a grid of tasks. Every pair is made exactly once; keys below the bound, usually all,
-    have one piece on each side."""
+    Both sides' rows are counted per key first. Usually no key has more than ``rows`` on either side,
+    and the join is a plain one. Otherwise either side of such a key is dealt out in pieces, and each of
+    its pieces is copied to every piece of the other side, so that the pairs of a hot key, wherever it
+    is hot, are made by a grid of tasks. Every pair is made exactly once."""
     if how not in ("inner", "left"):
         raise ValueError("inner and left joins can be split")
 
     def pieces(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
-    hot = pieces(left, "__pl").join(pieces(right, "__pr"), list(keys)).filter("__pl > 1 or __pr > 1")
+    hot = cut_lineage(pieces(left, "__pl").join(pieces(right, "__pr"), list(keys)).filter("__pl > 1 or __pr > 1"))
+    if hot.isEmpty():
+        return left.join(right, list(keys), how)
 
     def dealt(side: DataFrame, own: str, other: str, at: str, across: str) -> DataFrame:
         mine, theirs = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
-        place = F.pmod(F.xxhash64(*[c for c in side.columns if c not in keys]), mine).cast("int")
+        # Plain columns, as ids are, tell rows apart; vectors and texts are hashed only if there is nothing else.
+        plain = [f.name for f in side.schema.fields if f.name not in keys and isinstance(f.dataType, T.NumericType)]
+        place = F.pmod(F.xxhash64(*(plain or [c for c in side.columns if c not in keys] or [F.lit(0)])), mine).cast("int")
         spread = side.join(hot, list(keys), "left").withColumns({at: place, across: F.sequence(F.lit(0), theirs - 1)})
         return spread.withColumn(across, F.explode(across)).drop("__pl", "__pr")
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions import vectors as V
+from clauseloom.operators.blocks import similar_pairs
 from clauseloom.operators.dialog import block_of
 from clauseloom.operators.ordered import row_index, running, split_join, top_rows, with_totals
 from clauseloom.session import cut_lineage
@@ -275,15 +276,11 @@ def triplet_accuracy(triples: DataFrame, vectors: DataFrame, dim: int | None = N
     return shares.withColumn("accuracy_max", F.greatest(*[f"accuracy_{n}" for n in names]))
 
 
-def mined_pairs(sentences: DataFrame, min_score: float = -1.0, dim: int | None = None, digits: int = 6) -> DataFrame:
-    """Pairs of a meeting's sentences (id1 < id2) with a cosine of at least ``min_score``.
-
-    The threshold is part of the join, so pairs below it are never produced as rows."""
-    a = prepared(sentences.withColumnRenamed("id", "id1"), "a", dim, False)
-    b = prepared(sentences.withColumnRenamed("id", "id2"), "b", dim, False)
-    score = F.round(pair_cosine(dim), digits)
-    pairs = split_join(a, b, ["meeting"]).filter((F.col("id1") < F.col("id2")) & (score >= min_score))
-    return pairs.select("meeting", "id1", "id2", score.alias("score"))
+def mined_pairs(sentences: DataFrame, min_score: float = -1.0, digits: int = 6) -> DataFrame:
+    """Pairs of a meeting's sentences (id1 < id2) with a cosine of at least ``min_score``, by an exact
+    similarity join: pairs below it are never produced as rows, and in large meetings only vectors near
+    each other are compared."""
+    return similar_pairs(sentences, ["meeting"], min_score, digits)
 
 
 def known_pair_scores(known: DataFrame, sentences: DataFrame, dim: int | None = None, digits: int = 6) -> DataFrame:

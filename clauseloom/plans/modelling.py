@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import text as X
 from clauseloom.operators import density as C
 from clauseloom.operators import dialog as D
+from clauseloom.operators import hierarchy as H
 from clauseloom.operators import models as K
 from clauseloom.operators import sampling as S
 from clauseloom.operators import topics as P
@@ -57,7 +58,14 @@ def reduce_dimension(spark, sf):
 
 @query("variance_cluster")
 def variance_cluster(spark, sf):
-    return K.variance_cluster(vectors(spark, sf)).select("meeting", "id", "cluster")
+    """Ward's tree of each meeting's vectors, cut into at most 49."""
+    return H.ward_cluster(vectors(spark, sf).select("meeting", "id", "vec"))
+
+
+@query("density_hierarchy")
+def density_hierarchy(spark, sf):
+    """The most stable clusters of each meeting's whole vectors."""
+    return H.density_hierarchy(vectors(spark, sf).select("meeting", "id", "vec"), 5)
 
 
 def noun_tokens():

@@ -484,5 +484,5 @@ def paraphrase_mining(spark, sf):
     sentences = clause_vectors(spark, sf).join(ids, ["meeting", "id"], "left_semi").select("meeting", "id", "vec")
     known = D.adjacent_pairs(DQ.eligible(spark, sf)).select("meeting", F.col("anchor").alias("id1"), F.col("positive").alias("id2"))
     scores = O.known_pair_scores(known, sentences, DIM)
-    made = O.paraphrase_mining(O.mined_pairs(sentences, 0.8, DIM), scores)
+    made = O.paraphrase_mining(O.mined_pairs(sentences, 0.8), scores)
     return made.select(F.round("f1", 6).alias("f1"), F.round("average_precision", 6).alias("average_precision"))

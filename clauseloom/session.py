@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +54,27 @@ def new_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, as ``--py-files`` would."""
+    app, package = spark.sparkContext.applicationId, os.path.dirname(os.path.abspath(__file__))
+    if app in _SHIPPED:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    path = os.path.join(tempfile.mkdtemp(prefix="clauseloom-ship-"), "clauseloom.zip")
+    with open(path, "wb") as f:
+        f.write(packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
