@@ -27,12 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import HashStore, Store, as_bytes, column, ship, steps
+from clauseloom.llm.common import HashStore, Store, as_bytes, column, ragged, ship, steps
 from clauseloom.session import cut_lineage, new_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 LEVEL = 3
+#: Distinct runs of signs a process remembers.
+RUNS_KEPT = 300_000
 #: Compressed bytes after which a task begins another file.
 FILE_BYTES = 256 << 20
 
@@ -59,18 +61,57 @@ SIMPLE = re.compile(r"[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]+")
 RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+class KeepingStore(HashStore):
+    """A store that, when it is full, keeps the strings that were asked for again."""
+
+    def _forget(self) -> None:
+        super()._forget()
+        self.first, self.second, self.used = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def add(self, first: np.ndarray, second: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        super().add(first, second, counts, flat)
+        self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
+        self.used = np.concatenate([self.used, np.zeros(len(first), np.int32)])
+
+    def _halve(self) -> None:
+        """Keep half of the limit at most, of the strings that were used the most used ones."""
+        keep = np.flatnonzero(self.used)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: self.limit // 2]])
+        first, second, counts = self.first[keep], self.second[keep], self.count[keep]
+        flat = self.flat[ragged(self.start[keep], counts)]
+        self._forget()
+        self.add(first, second, counts, flat)
+
+    def numbers(self, strings: pa.Array, learn) -> np.ndarray:
+        first, second = self.hashes(strings)
+        at = self.find(first, second)
+        if len(self.count) + int((at < 0).sum()) > self.limit:
+            self._halve()
+            at = self.find(first, second)
+        new = np.flatnonzero(at < 0)
+        self.used[at[at >= 0]] += 1
+        if len(new):
+            base = len(self.count)
+            self.add(first[new], second[new], *learn(strings.take(pa.array(new)).to_pylist()))
+            at[new] = base + np.arange(len(new))
+        return at
+
+
 class Encoder:
     """The library's ids of whole texts. Its vocabulary drops white space and never joins words over
     it, nor runs of letters, single digits and runs of other signs over each other, so distinct words
     are put together from distinct runs, which the library encodes once. Words that aren't simple, and
-    spaces other than blanks and newlines, are the library's matter as they stand."""
+    spaces other than blanks and newlines, are the library's matter as they stand, as are whole texts
+    that hold one of its added tokens, in any case. Known words are told apart by 128 bits of hash: two
+    words with equal ones would get the ids of the first."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.words, self.runs = HashStore(), Store()
+        self.added = sorted({t.content.lower() for t in self.library.get_added_tokens_decoder().values()})
+        self.words, self.runs = KeepingStore(), Store(RUNS_KEPT)
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         runs = [RUNS.findall(w.lower()) if SIMPLE.fullmatch(w) else [w] for w in words]
@@ -92,7 +133,22 @@ class Encoder:
         except pa.ArrowInvalid:  # not UTF-8
             texts = pa.array([x.decode("utf-8", "replace") for x in as_bytes(texts)])
         # The vocabulary is in lower case: A to Z can be lowered first, so that fewer words differ.
-        split = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        low = pc.ascii_lower(texts)
+        odd = np.zeros(len(low), bool)
+        for token in self.added:
+            odd |= pc.match_substring(low, token).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._plain(low)
+        counts, ids = self._plain(pc.if_else(pa.array(odd), "", low))
+        ends, pieces, last = np.cumsum(counts), [], 0
+        for row in np.flatnonzero(odd).tolist():
+            own = np.array(self.library.encode(texts[row].as_py(), add_special_tokens=False).ids, np.int32)
+            pieces += [ids[last : ends[row]], own]
+            counts[row], last = len(own), ends[row]
+        return counts, np.concatenate([*pieces, ids[last:]])
+
+    def _plain(self, low: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
         numbered = split.flatten().dictionary_encode()
         at = self.words.numbers(numbered.dictionary, self._learn)[numbered.indices.to_numpy(zero_copy_only=False)]
         return self.words.gather(split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), at)
@@ -109,7 +165,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     the ids of a whole text and the end id, as little-endian unsigned 32-bit integers."""
     ship(docs.sparkSession)
     path = vocabulary or vocabulary_path()
-    rows = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
+    rows = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), column(docs, text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,14 +13,12 @@ from tokenizers import Tokenizer
 from clauseloom.llm import op7_frames as Z
 from clauseloom.session import new_path
 
-ODD = ["", None, " ", "Hello, World! it's 12 o'clock", "two  spaces\n\n\ttab\x0b\x0cvt nbsp", "Ünï ﬁ Å é é İ ẞ", "<|endoftext|> x<|startoftext|>y", "日本語 🙂🙂", "a b", "x" * 5000, "'s 're don't", "́ lone mark"]
+ODD = ["", None, " ", "Hello, World! it's 12 o'clock", "two  spaces\n\n\ttab\x0b\x0cvt nbsp", "Ünï ﬁ Å é é İ ẞ", "<|endoftext|> x<|startoftext|>y", "a<|EndOfText|>b <|endoftext|", "é<|endoftext|><|endoftext|>\n<| endoftext |> don't", "plain between", "日本語 🙂🙂", "a b", "x" * 5000, "'s 're don't", "́ lone mark"]
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(Z.vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(Z.vocabulary_path())
 
 
 def plain(library, rows):
@@ -42,6 +40,25 @@ def test_odd_texts(make_docs, library):
     assert Z.op7_frames(make_docs([])).collect() == []
 
 
+def test_ids_of_another_width(spark, library):
+    rows = [(k, t) for k, t in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert found(Z.op7_frames(df)) == plain(library, rows)
+
+
+def test_a_full_store_keeps_what_is_used(library):
+    import pyarrow as pa
+
+    words = Z.Encoder(Z.vocabulary_path())
+    words.words.limit = 60
+    for k in range(40):
+        texts = [f"the common words {k} of{k % 7} every w{k * 31} text", f"x{k}y <|endoftext|> é{k}" if k % 5 == 0 else f"and others{k}", ""]
+        counts, ids = words.encode(pa.array(texts))
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(words.words.count) <= 60 and len(words.words.first) == len(words.words.count)
+
+
 def test_given_table(documents, library):
     assert found(Z.op7_frames(documents)) == plain(library, [(r.doc_id, r.text) for r in documents.collect()])
 
