@@ -2,8 +2,8 @@
 
 A vector column is ``vec array<double>``. Pair tables are equi joins on the meeting (and speaker);
 norms and histograms are computed once per vector before the join. Where only the best partners are
-wanted, the top-k or maximum is taken inside the join's own stage, so pairs are never shuffled; a
-meeting with most of the rows is dealt out in pieces (``split_join``). ``dim`` (vector length) makes
+wanted, vectors are compared in blocks (``nearest_by_metric``) and pairs never become rows; a meeting
+with most of the rows is dealt out in pieces (``split_join``). ``dim`` (vector length) makes
 the arithmetic compile into generated code.
 """
 
@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions import vectors as V
-from clauseloom.operators.blocks import similar_pairs
+from clauseloom.operators.blocks import met_in_blocks, similar_pairs
 from clauseloom.operators.dialog import block_of
 from clauseloom.operators.ordered import row_index, running, split_join, top_rows, with_totals
 from clauseloom.session import cut_lineage
@@ -123,6 +125,62 @@ def title_clause_metrics(titles: DataFrame, clauses: DataFrame, dim: int | None
     )
 
 
+def nearest_by_metric(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, n: int, metrics: Sequence[str] = METRICS, digits: int | None = None, skip_same: bool = False, from_right: bool = False
+) -> DataFrame:
+    """(keys, left_id, metric, rank, right_id, value): the n best rows of the right side for each row of
+    the left and each metric, among those with equal keys. Ties go to the smaller id.
+
+    Both sides: keys, their id, vec; ids are whole numbers, and a key's vectors have one length. Rows
+    without a vector take no part. Pairs are compared in blocks as arrays, and a block gives each row
+    n per metric: no pair becomes a row. A cosine with a zero vector is null and comes last.
+    ``skip_same`` leaves out distances of exactly 0; ``from_right`` takes the divergence of the right
+    side's histogram from the left one's, instead of the left's from the right's."""
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        hist = {"hist": V.histogram(F.col("vec"))} if METRICS[1] in metrics else {}
+        return cut_lineage(rows.filter("vec is not null").select(*keys, F.col(name).cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).withColumns(hist))
+
+    def work(one: pa.Table, two: pa.Table) -> dict:
+        def matrix(t: pa.Table, name: str) -> np.ndarray:
+            return np.array(t.column(name).combine_chunks().flatten(), float).reshape(t.num_rows, -1)
+
+        two = two.take(pa.array(np.argsort(two.column("id").to_numpy(), kind="stable")))
+        a, b, i, j = matrix(one, "vec"), matrix(two, "vec"), one.column("id").to_numpy(), two.column("id").to_numpy()
+        out: list[tuple] = []
+        for at, metric in enumerate(metrics):
+            if metric == METRICS[0]:
+                norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+                value = np.divide(a @ b.T, norms, out=np.full(norms.shape, np.nan), where=norms != 0)
+            elif metric == METRICS[1]:
+                x, y = matrix(one, "hist"), matrix(two, "hist")
+                p, q = (y[None], x[:, None]) if from_right else (x[:, None], y[None])
+                value = sum(p[..., k] * np.log(p[..., k] / q[..., k]) for k in range(x.shape[1]))
+            else:
+                value = np.zeros((len(a), len(b)))
+                for k in range(a.shape[1]):
+                    apart = np.abs(np.subtract.outer(a[:, k], b[:, k]))
+                    value = np.maximum(value, apart) if metric == METRICS[2] else value + (apart**2 if metric == METRICS[3] else apart)
+                value = np.sqrt(value) if metric == METRICS[3] else value
+            value = value if digits is None else np.round(value, digits)
+            key = np.where(np.isnan(value), np.finfo(float).max, -value if metric == METRICS[0] else value)
+            if skip_same and metric != METRICS[0]:
+                key[value == 0] = np.inf
+            best = np.argsort(key, axis=1, kind="stable")[:, :n]
+            row = np.repeat(np.arange(len(a)), best.shape[1])
+            best = best.ravel()
+            fits = np.isfinite(key[row, best])
+            row, best = row[fits], best[fits]
+            out.append((i[row], np.full(len(row), at, np.int32), j[best], value[row, best], key[row, best]))
+        flat = [np.concatenate([o[k] for o in out]) for k in range(5)]
+        return {"l": flat[0], "at": flat[1], "r": flat[2], "value": pa.array(flat[3], mask=np.isnan(flat[3])), "sort_key": flat[4]}
+
+    found = met_in_blocks(side(left, left_id), side(right, right_id), keys, "id", work, "l bigint, at int, r bigint, value double, sort_key double")
+    best = top_rows(found, [*keys, "l", "at"], [F.col("sort_key"), F.col("r")], n)
+    name = F.element_at(F.array(*map(F.lit, metrics)), F.col("at") + 1)
+    return best.select(*keys, F.col("l").alias(left_id), name.alias("metric"), "rank", F.col("r").alias(right_id), "value")
+
+
 def long_metrics(metrics: DataFrame) -> DataFrame:
     """One row per pair and metric; ``sort_key`` is ascending from best to worst."""
     keep = [c for c in metrics.columns if c not in METRICS]
@@ -153,26 +211,11 @@ def metric_report(hits: DataFrame, keys: Sequence[str] = ("metric",)) -> DataFra
     )
 
 
-def title_top_clauses(titles: DataFrame, clauses: DataFrame, n: int = 5, dim: int | None = None, digits: int | None = None) -> DataFrame:
+def title_top_clauses(titles: DataFrame, clauses: DataFrame, n: int = 5, digits: int | None = None) -> DataFrame:
     """Per title the n clauses of highest cosine and the n of lowest divergence, from all clauses
-    of the meeting: (meeting, title_id, metric, rank, id, speaker_name)."""
-    pairs = split_join(prepared(clauses, "b", dim), prepared(titles, "a", dim), ["meeting"])
-    cos, kl = pair_cosine(dim), V.kl_from_histograms(F.col("b_hist"), F.col("a_hist"))
-    if digits is not None:
-        cos, kl = F.round(cos, digits), F.round(kl, digits)
-    keyed = pairs.select(
-        "meeting",
-        "title_id",
-        "id",
-        "speaker_name",
-        F.explode(
-            F.array(
-                F.struct(F.lit(METRICS[0]).alias("metric"), (-cos).alias("sort_key")),
-                F.struct(F.lit(METRICS[1]).alias("metric"), kl.alias("sort_key")),
-            )
-        ).alias("m"),
-    ).select("meeting", "title_id", "id", "speaker_name", "m.*")
-    return top_rows(keyed, ["meeting", "title_id", "metric"], [F.col("sort_key").asc_nulls_last(), F.col("id")], n).drop("sort_key")
+    of the meeting: (meeting, title_id, metric, rank, id, value, speaker_name)."""
+    best = nearest_by_metric(titles, clauses, ["meeting"], "title_id", "id", n, METRICS[:2], digits, from_right=True)
+    return best.join(clauses.select("meeting", "id", "speaker_name"), ["meeting", "id"])
 
 
 def speaker_in_topk(rows: DataFrame, top: DataFrame) -> DataFrame:
@@ -183,40 +226,25 @@ def speaker_in_topk(rows: DataFrame, top: DataFrame) -> DataFrame:
     return asked.join(best, ["meeting", "title_id", "metric", "speaker_name"], "left").na.fill(0, ["hit"])
 
 
-def nearest_same_speaker(digest_clauses: DataFrame, clauses: DataFrame, dim: int | None = None, digits: int | None = None) -> DataFrame:
+def nearest_same_speaker(digest_clauses: DataFrame, clauses: DataFrame, digits: int | None = None) -> DataFrame:
     """Per digest clause the same speaker's minutes clause of highest cosine (lowest id on a tie),
     null where the speaker never spoke.
 
-    Both sides: meeting, id, speaker_name, vec. The maximum is combined inside the join's stage."""
-    a = prepared(digest_clauses, "a", dim, False)
-    b = prepared(clauses.withColumnRenamed("id", "near_id"), "b", dim, False)
-    score = pair_cosine(dim)
-    if digits is not None:
-        score = F.round(score, digits)
-    best = F.max(F.struct(score.alias("score"), (-F.col("near_id")).alias("neg_id")))
-    return (
-        split_join(a, b, ["meeting", "speaker_name"], "left")
-        .groupBy("meeting", "id", "speaker_name")
-        .agg(best.alias("best"))
-        .select("meeting", "id", "speaker_name", (-F.col("best.neg_id")).alias("near_id"), F.col("best.score").alias("cos_similarity"))
-    )
-
-
-def topk_mean_vector(
-    digest_clauses: DataFrame, clauses: DataFrame, n: int = 3, divide_by: str = "n", dim: int | None = None, digits: int | None = None
-) -> DataFrame:
-    """Mean of the same speaker's n most similar vectors. ``divide_by='n'`` divides by n even where
-    fewer exist, ``'count'`` by their number."""
-    a = prepared(digest_clauses, "a", dim, False)
-    b = prepared(clauses.withColumnRenamed("id", "near_id"), "b", dim, False)
-    score = pair_cosine(dim)
-    if digits is not None:
-        score = F.round(score, digits)
-    near = split_join(a, b, ["meeting", "speaker_name"]).select(
-        "meeting", "id", "near_id", F.col("b_vec").alias("vec"), score.alias("score")
-    )
-    best = top_rows(near, ["meeting", "id"], [F.col("score").desc(), F.col("near_id")], n)
-    return mean_vector(best, ["meeting", "id"], n if divide_by == "n" else None)
+    Both sides: meeting, id, speaker_name, vec."""
+    where = ["meeting", "speaker_name"]
+    best = nearest_by_metric(digest_clauses, clauses.withColumnRenamed("id", "near_id"), where, "id", "near_id", 1, METRICS[:1], digits)
+    found = best.select(*where, "id", "near_id", F.col("value").alias("cos_similarity"))
+    return digest_clauses.select("meeting", "id", "speaker_name").join(found, [*where, "id"], "left").select("meeting", "id", "speaker_name", "near_id", "cos_similarity")
+
+
+def topk_mean_vector(digest_clauses: DataFrame, clauses: DataFrame, n: int = 3, divide_by: str = "n", digits: int | None = None) -> DataFrame:
+    """Mean of the same speaker's n most similar vectors, which are joined to the best pairs alone.
+    ``divide_by='n'`` divides by n even where fewer exist, ``'count'`` by their number."""
+    where = ["meeting", "speaker_name"]
+    near = clauses.withColumnRenamed("id", "near_id")
+    best = nearest_by_metric(digest_clauses, near, where, "id", "near_id", n, METRICS[:1], digits)
+    full = best.join(near.select(*where, "near_id", "vec"), [*where, "near_id"]).select("meeting", "id", "vec")
+    return mean_vector(full, ["meeting", "id"], n if divide_by == "n" else None)
 
 
 def speaker_pair_relation(digest_clauses: DataFrame) -> DataFrame:

@@ -178,16 +178,19 @@ def corpus_ratio(discussions: DataFrame, clauses: DataFrame | None = None, token
     return counts.join(corpus, ["meeting", "word"]).withColumn("ratio", F.col("n") / F.col("total"))
 
 
+def class_idf(bag: DataFrame) -> DataFrame:
+    """(meeting, word, idf): ln(1 + mean class length / f), f the word's count over all classes of the meeting."""
+    mean = bag.groupBy("meeting", "doc").agg(F.sum("n").alias("class_len")).groupBy("meeting").agg(F.avg("class_len").alias("mean_len"))
+    words = bag.groupBy("meeting", "word").agg(F.sum("n").alias("f")).join(mean, "meeting")
+    return words.select("meeting", "word", F.ln(1 + F.col("mean_len") / F.col("f")).alias("idf"))
+
+
 def class_tfidf(bag: DataFrame) -> DataFrame:
-    """Class-based weight: share of the word in the class times ln(1 + mean class length / f),
-    with f the word's count over all classes of the meeting."""
+    """Class-based weight: share of the word in the class times the word's ``class_idf``."""
     bag = cut_lineage(bag)
     sizes = bag.groupBy("meeting", "doc").agg(F.sum("n").alias("class_len"))
-    mean = sizes.groupBy("meeting").agg(F.avg("class_len").alias("mean_len"))
-    words = bag.groupBy("meeting", "word").agg(F.sum("n").alias("f")).join(mean, "meeting")
-    idf = words.select("meeting", "word", F.ln(1 + F.col("mean_len") / F.col("f")).alias("idf"))
     return (
-        bag.join(idf, ["meeting", "word"])
+        bag.join(class_idf(bag), ["meeting", "word"])
         .join(sizes, ["meeting", "doc"])
         .select("meeting", "doc", "word", (F.col("n") / F.col("class_len") * F.col("idf")).alias("weight"))
     )

@@ -12,9 +12,11 @@ from clauseloom.operators import models as K
 from clauseloom.operators import sampling as S
 from clauseloom.operators import topics as P
 from clauseloom.operators import vectors as O
+from clauseloom.operators import weights as W
 from clauseloom.plans import dialogue as DQ
 from clauseloom.plans.registry import query
 from clauseloom.plans.relations import CHAIR, clauses, digest, titles, vectors
+from clauseloom.plans.text import tokens_sql
 from clauseloom.session import new_path, staged
 
 EPS = 0.02
@@ -102,11 +104,33 @@ def token_docs(spark, sf):
     return clauses(spark, sf).select("meeting", "id", X.tokenize(F.col("utterance")).alias("words"))
 
 
-@query("topic_distribution")
+@query(
+    "topic_distribution",
+    f"""
+    , words AS (SELECT meeting, id, label AS cluster, {tokens_sql('utterance')} AS words FROM clauses),
+    bag AS (SELECT meeting, cluster, word, count(*) AS n FROM (SELECT meeting, cluster, unnest(words) AS word FROM words) GROUP BY ALL),
+    sizes AS (SELECT meeting, cluster, sum(n) AS class_len FROM bag GROUP BY ALL),
+    means AS (SELECT meeting, avg(class_len) AS mean_len FROM sizes GROUP BY ALL),
+    idf AS (SELECT b.meeting, b.word, ln(1 + any_value(m.mean_len) / sum(b.n)) AS idf FROM bag b JOIN means m ON m.meeting = b.meeting GROUP BY ALL),
+    weights AS (SELECT b.meeting, b.cluster, b.word, b.n / s.class_len * i.idf AS weight FROM bag b JOIN sizes s ON s.meeting = b.meeting AND s.cluster = b.cluster
+                JOIN idf i ON i.meeting = b.meeting AND i.word = b.word),
+    wide AS (SELECT meeting, cluster, sqrt(sum(weight * weight)) AS width FROM weights GROUP BY ALL),
+    starts AS (SELECT meeting, id, words, unnest(range(0, greatest(len(words) - 4, 0) + 1)) AS start FROM words),
+    x AS (SELECT r.meeting, r.id, r.start, r.word, count(*) * any_value(i.idf) AS x FROM (SELECT meeting, id, start, unnest(words[start + 1:start + 4]) AS word FROM starts) r
+          JOIN idf i ON i.meeting = r.meeting AND i.word = r.word GROUP BY ALL),
+    long AS (SELECT meeting, id, start, sqrt(sum(x * x)) AS length FROM x GROUP BY ALL),
+    dots AS (SELECT x.meeting, x.id, x.start, w.cluster, sum(x.x * w.weight) AS dot FROM x JOIN weights w ON w.meeting = x.meeting AND w.word = x.word GROUP BY ALL),
+    near AS (SELECT d.meeting, d.id, d.cluster, d.dot / (l.length * v.width) AS near FROM dots d JOIN long l ON l.meeting = d.meeting AND l.id = d.id AND l.start = d.start
+             JOIN wide v ON v.meeting = d.meeting AND v.cluster = d.cluster),
+    sums AS (SELECT meeting, id, cluster, sum(near) AS near FROM near WHERE near >= 0.1 GROUP BY ALL)
+    SELECT meeting, id, cluster, round(near / sum(near) OVER (PARTITION BY meeting, id), 6) AS share FROM sums""",
+    "clauses",
+)
 def topic_distribution(spark, sf):
-    docs = token_docs(spark, sf)
-    made = P.topic_distribution(P.fit_topic_distribution(docs, "words", 8), docs)
-    return made.select("meeting", "id", F.posexplode("prob").alias("topic", "share"))
+    """The clusters are the turns of a conversation."""
+    rows = clauses(spark, sf).select("meeting", "id", F.col("label").alias("doc"), X.tokenize(F.col("utterance")).alias("words"))
+    shares = P.cluster_shares(rows.select("meeting", "id", "words"), W.bag_of_words(rows, F.col("words")))
+    return shares.withColumn("share", F.round("share", 6))
 
 
 def saved(spark, sf):

@@ -286,12 +286,7 @@ part(
 
 
 def make_metrics(spark, sf):
-    pieces = digest_vectors(spark, sf).select("meeting", F.col("id").alias("clause_id"), "clause", "vec")
-    return O.title_clause_metrics(title_vectors(spark, sf), pieces, DIM)
-
-
-def metrics(spark, sf):
-    return staged(spark, sf, "title_clause_metrics", lambda: make_metrics(spark, sf))
+    return O.title_clause_metrics(title_vectors(spark, sf), digest_pieces(spark, sf), DIM)
 
 
 @query("title_clause_metrics", f"SELECT meeting, id, title_id, title, clause_id, clause, {METRICS_SQL} FROM title_clauses", "title_clauses")
@@ -299,8 +294,19 @@ def title_clause_metrics(spark, sf):
     return make_metrics(spark, sf).withColumns({m: F.round(m, 6) for m in O.METRICS})
 
 
+def digest_pieces(spark, sf):
+    return digest_vectors(spark, sf).select("meeting", F.col("id").alias("clause_id"), "clause", "vec")
+
+
 def best_metrics(spark, sf):
-    return O.topk_by_metric(metrics(spark, sf), 5, TIE_DIGITS)
+    """The five best clauses of every title by each metric, from the vectors."""
+
+    def build():
+        pieces = digest_pieces(spark, sf)
+        best = O.nearest_by_metric(title_vectors(spark, sf), pieces, ["meeting"], "title_id", "clause_id", 5, O.METRICS, TIE_DIGITS, True)
+        return best.join(pieces.select("meeting", "clause_id", "clause"), ["meeting", "clause_id"])
+
+    return staged(spark, sf, "best_metrics", build)
 
 
 @query("topk_by_metric", "SELECT meeting, title_id, metric, clause_id, rank, round(value, 6) AS value FROM best_metrics", "best_metrics")
@@ -310,8 +316,8 @@ def topk_by_metric(spark, sf):
 
 @query("lowest_k", "SELECT meeting, title_id, clause_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY meeting, title_id ORDER BY value, clause_id) AS rank FROM long_metrics WHERE metric = 'kl_divergence') WHERE rank <= 5", "long_metrics")
 def lowest_k(spark, sf):
-    rows = metrics(spark, sf).select("meeting", "title_id", "clause_id", F.round("kl_divergence", TIE_DIGITS).alias("value"))
-    return top_rows(rows, ["meeting", "title_id"], [F.col("value").asc_nulls_last(), F.col("clause_id")], 5).drop("value")
+    best = O.nearest_by_metric(title_vectors(spark, sf), digest_pieces(spark, sf), ["meeting"], "title_id", "clause_id", 5, O.METRICS[1:2], TIE_DIGITS)
+    return best.select("meeting", "title_id", "clause_id", "rank")
 
 
 def clause_hits(spark, sf):
@@ -346,7 +352,7 @@ def metric_report(spark, sf):
     "digest_vecs",
 )
 def speaker_in_topk(spark, sf):
-    top = O.title_top_clauses(title_vectors(spark, sf), clause_vectors(spark, sf), 5, DIM, TIE_DIGITS)
+    top = O.title_top_clauses(title_vectors(spark, sf), clause_vectors(spark, sf), 5, TIE_DIGITS)
     rows = digest_vectors(spark, sf).filter(F.col("title_id") > 0).select("meeting", "title_id", "id", "speaker_name")
     return O.speaker_in_topk(rows, top).select("meeting", "title_id", "id", "metric", "hit")
 
@@ -365,7 +371,7 @@ part(
 @query("nearest_same_speaker", "SELECT meeting, id, speaker_name, near_id, round(score, 6) AS cos_similarity FROM near_speakers WHERE rank = 1", "near_speakers")
 def nearest_same_speaker(spark, sf):
     rows = digest_vectors(spark, sf).select("meeting", "id", "speaker_name", "vec")
-    found = O.nearest_same_speaker(rows, clause_vectors(spark, sf), DIM, TIE_DIGITS)
+    found = O.nearest_same_speaker(rows, clause_vectors(spark, sf), TIE_DIGITS)
     return found.withColumn("cos_similarity", F.round("cos_similarity", 6))
 
 
@@ -376,7 +382,7 @@ def nearest_same_speaker(spark, sf):
 )
 def topk_mean_vector(spark, sf):
     rows = digest_vectors(spark, sf).select("meeting", "id", "speaker_name", "vec")
-    made = O.topk_mean_vector(rows, clause_vectors(spark, sf), 3, "n", DIM, TIE_DIGITS)
+    made = O.topk_mean_vector(rows, clause_vectors(spark, sf), 3, "n", TIE_DIGITS)
     return made.select("meeting", "id", F.posexplode("vec").alias("pos", "x")).select(
         "meeting", "id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x")
     )

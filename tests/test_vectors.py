@@ -130,3 +130,52 @@ def test_user_encoder_and_reduction(spark):
     assert min(clusters) == 1 and max(clusters) <= 4
     again = K.variance_cluster(vecs, 4)
     assert rows(again, "id", "cluster") == rows(K.variance_cluster(vecs, 4), "id", "cluster")
+
+
+@pytest.mark.parametrize("block,from_right", [(2048, False), (9, True)])
+def test_nearest_by_metric_equals_all_pairs(spark, monkeypatch, block, from_right):
+    """Blocks against the pair table, with ties, zero vectors, equal vectors and rows without a vector."""
+    from clauseloom.operators import blocks as B
+
+    monkeypatch.setattr(B, "BLOCK_ROWS", block)
+    rnd = random.Random(block)
+    vec = lambda: [float(rnd.randrange(3)) for _ in range(4)]
+    left = [(m, i, vec()) for m in ("a", None) for i in range(14)] + [("a", 90, [0.0] * 4), ("alone", 1, vec())]
+    right = [(m, i, vec()) for m in ("a", None, "b") for i in range(25)] + [("a", 90, [0.0] * 4), ("a", 91, None)]
+    dl = spark.createDataFrame(left, "meeting string, title_id long, vec array<double>")
+    dr = spark.createDataFrame(right, "meeting string, clause_id long, vec array<double>")
+    a, b = F.col("x.vec"), F.col("y.vec")
+    divergence = V.histogram_kl(b, a) if from_right else V.histogram_kl(a, b)
+    values = [V.cosine_similarity(a, b), divergence, V.chebyshev_distance(a, b), V.euclidean_distance(a, b), V.manhattan_distance(a, b)]
+    pairs = dl.alias("x").join(dr.alias("y"), F.col("x.meeting").eqNullSafe(F.col("y.meeting")) & F.col("y.vec").isNotNull())
+    pairs = pairs.select("x.meeting", "title_id", "clause_id", *[F.round(v, 9).alias(n) for v, n in zip(values, O.METRICS, strict=True)]).collect()
+    want = set()
+    for metric in O.METRICS:
+        sign = -1 if metric == O.METRICS[0] else 1
+        for key in {(r.meeting, r.title_id) for r in pairs}:
+            mine = [(r[metric] is None, sign * (r[metric] or 0.0), r.clause_id) for r in pairs if (r.meeting, r.title_id) == key and (sign < 0 or r[metric] != 0)]
+            want |= {(*key, metric, k, c, None if null else sign * v + 0.0) for k, (null, v, c) in enumerate(sorted(mine)[:3], 1)}
+    got = O.nearest_by_metric(dl, dr, ["meeting"], "title_id", "clause_id", 3, O.METRICS, 9, True, from_right)
+    assert {(r.meeting, r.title_id, r.metric, r["rank"], r.clause_id, None if r.value is None else r.value + 0.0) for r in got.collect()} == want
+    assert O.nearest_by_metric(dl.limit(0), dr, ["meeting"], "title_id", "clause_id", 3).collect() == []
+
+
+def test_cluster_shares(spark):
+    from clauseloom.operators import topics as P
+
+    docs = spark.createDataFrame([("m", 1, ["a", "b"]), ("m", 2, ["a", "c", "zz", "c", "c"]), ("m", 3, []), ("m", 4, None), ("n", 1, ["a"])], "meeting string, id long, words array<string>")
+    bag = spark.createDataFrame([("m", 0, "a", 2), ("m", 0, "b", 1), ("m", 1, "c", 3)], "meeting string, doc long, word string, n long")
+    shares = {(r.meeting, r.id, r.cluster): r.share for r in P.cluster_shares(docs, bag).collect()}
+    # Class lengths are 3 and 3: idf is ln(1 + 3 / f). Text 1 is like cluster 0 only.
+    idf = {"a": math.log(1 + 3 / 2), "b": math.log(4), "c": math.log(2)}
+    weight = {0: {"a": 2 / 3 * idf["a"], "b": 1 / 3 * idf["b"]}, 1: {"c": idf["c"]}}
+
+    def near(words, c):
+        x = {w: words.count(w) * idf[w] for w in set(words) if w in idf}
+        dot = sum(v * weight[c].get(w, 0.0) for w, v in x.items())
+        return dot / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in weight[c].values()))
+
+    runs = [["a", "c", "zz", "c"], ["c", "zz", "c", "c"]]
+    sums = [sum(v for r in runs if (v := near(r, c)) >= 0.1) for c in (0, 1)]
+    assert set(shares) == {("m", 1, 0), ("m", 2, 0), ("m", 2, 1)} and shares["m", 1, 0] == 1.0
+    assert all(math.isclose(shares["m", 2, c], sums[c] / sum(sums)) for c in (0, 1))
