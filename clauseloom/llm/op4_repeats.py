@@ -345,8 +345,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op4_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (from-to byte ranges, comma-joined), and
+    text: what is left, where bytes that are no UTF-8, at cuts within a character, are U+FFFD."""
     found, n = remove_repeats(docs.select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return found.select("doc_id", size.alias("n_bytes"), (size - F.length(n["kept"])).alias("n_removed"), F.size(n["spans"]).cast("long").alias("n_spans"), F.sha2(n["kept"], 256).alias("kept_sha256"))
-
+    ranges = F.array_join(F.transform(n["spans"], lambda s: F.concat_ws("-", s["from"].cast("string"), s["to"].cast("string"))), ",")
+    left = F.make_valid_utf8(F.col(n["kept"]).cast("string"))
+    return found.select("doc_id", size.alias("n_bytes"), (size - F.length(n["kept"])).alias("n_removed"), F.size(n["spans"]).cast("long").alias("n_spans"), F.sha2(n["kept"], 256).alias("kept_sha256"), ranges.alias("removed"), left.alias("text"))
