@@ -203,7 +203,11 @@ def sections(digest: DataFrame, block: int = BLOCK) -> DataFrame:
 def unique_titles(digest: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per section with a title of its own: if an earlier section that has clauses bears
     the same title, the title row's position is appended."""
-    parts = sections(digest, block)
+    return titles_of_sections(cut_lineage(sections(digest, block)), block)
+
+
+def titles_of_sections(parts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``unique_titles`` from the rows that ``sections`` gives."""
     is_title = F.col("kind") == TITLE
     per_section = (
         parts.filter(F.col("section") > 0)
@@ -234,8 +238,9 @@ def unique_titles(digest: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def digest_clause_table(digest: DataFrame, block: int = BLOCK) -> DataFrame:
     """Digest clauses with their section's unique title and a new 0-based id."""
-    clauses = sections(digest, block).filter(F.col("kind") != TITLE)
-    titles = unique_titles(digest, block).select("meeting", "section", "title")
+    parts = cut_lineage(sections(digest, block))
+    clauses = parts.filter(F.col("kind") != TITLE)
+    titles = titles_of_sections(parts, block).select("meeting", "section", "title")
     return clauses.join(titles, ["meeting", "section"], "left").select(
         "meeting",
         (F.col("pos") - F.col("section")).alias("id"),

@@ -122,6 +122,6 @@ def append_missing(spark, sf):
 def write_partitioned(spark, sf):
     path = new_path(spark, "clusters")
     rows = clauses(spark, sf).select("speaker_name", F.col("label").alias("cluster"), "id", "utterance")
-    T.write_partitioned(rows, path, ["speaker_name", "cluster"], 4)
+    T.write_partitioned(rows, path, ["speaker_name", "cluster"])
     found = spark.read.schema("id long, utterance string, speaker_name string, cluster long").parquet(path)
     return found.groupBy("speaker_name", "cluster").agg(F.count("*").alias("n"))

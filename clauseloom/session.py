@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "6g") -> SparkSession:
@@ -99,9 +100,11 @@ _STAGED: dict[tuple[str, str, str], tuple[tuple, str]] = {}
 
 
 def file_versions(spark: SparkSession, source: str) -> tuple:
-    """Path, size and time of change of every data file below ``source``, without reading any."""
+    """Number, bytes, latest change and a hash sum of all data files below ``source`` (path, size, time
+    of change of each), without reading any. One row, however many files there are."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(source)
-    return tuple(sorted((r.path, r.length, r.modificationTime) for r in files.select("path", "length", "modificationTime").collect()))
+    each = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.sum(each)).first())
 
 
 def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -66,12 +66,12 @@ def read_meetings(spark: SparkSession, folder: str, prefix: str = MEETING_PREFIX
     return raw.select(file_stem(F.col("_metadata.file_name")).alias("meeting"), "assembly", "digest")
 
 
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str], spread: int = 16, mode: str = "errorifexists") -> None:
+def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "errorifexists") -> None:
     """One folder per key combination, files of bounded size inside.
 
-    Rows go to ``spread`` tasks per key, so a key with most of the rows is not written by one."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
-    df.repartition(*[F.col(c) for c in by], salt).write.mode(mode).partitionBy(*by).parquet(path)
+    Rows are dealt out by key and rebalanced: a key with most of the rows is split at run time into as
+    many tasks, and files, as its bytes ask for, and small keys share a task."""
+    df.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def load_triples(df: DataFrame, name: str, order: Sequence[str], columns: Sequence[str], number: Column, max_examples: int = 0) -> DataFrame:
