@@ -90,6 +90,35 @@ def hex64(value):
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
+#: Bits of a key filter at most.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame):
+    """A broadcast set of bits that holds all ``keys`` (one long column, hash values): what it leaves out
+    is none of them, what it lets pass must be checked. Its size has a fixed bound; with more keys than
+    bits it only leaves out less."""
+    name = keys.columns[0]
+    n = min(FILTER_BITS, 1 << max(16, (16 * keys.count()).bit_length()))
+    x = F.col(name)
+    mixed = x.bitwiseXOR(F.shiftrightunsigned(x, 17)).bitwiseXOR(F.shiftleft(x, 13))
+    at = F.explode(F.array(x.bitwiseAND(F.lit(n - 1)), mixed.bitwiseAND(F.lit(n - 1)))).alias("at")
+    words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+    found = words.toArrow()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(n // 64, np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key (long) may be in the filter of these bits."""
+    x, last = keys.view(np.uint64), np.uint64(64 * len(bits) - 1)
+    has = np.ones(len(x), bool)
+    for at in (x & last, (x ^ x >> np.uint64(17) ^ x << np.uint64(13)) & last):
+        has &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return has
+
+
 class Store:
     """Token lists by string, kept by a process; past its limit it goes on with the first half: common
     strings come early."""

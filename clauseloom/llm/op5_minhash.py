@@ -1,8 +1,8 @@
 """Document fingerprints by MinHash, and near-duplicate classes from them.
 
-A text's shingles of five words are hashed to 32 bits, and K universal hash functions
-h(x) = (a x + b mod 2^64) >> 32, with odd a, are applied to all of them at once; the least value under
-each function is one component of the signature. The share of equal components of two signatures
+A text's shingles of five words are hashed to 32 bits, and K universal hash permutations
+h(x) = a x + b mod 2^32, with odd a, are applied to all of them at once; the least value under each
+permutation is one component of the signature. The share of equal components of two signatures
 estimates the Jaccard similarity of the shingle sets.
 
 For near duplicates signatures are cut into bands. Documents are joined in Spark with the first
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import as_bytes, column, ship, steps
+from clauseloom.llm.common import as_bytes, column, key_filter, may_hold, ship, steps
 from clauseloom.llm.components import components
 from clauseloom.session import cut_lineage
 
@@ -31,27 +32,33 @@ SEED = 7
 #: Bands of a signature: at a similarity of 0.8, with 32 bands of 4, all but 5e-8 of pairs share one.
 BANDS = 32
 THRESHOLD = 0.8
-#: Rows on either side of a cell in which followers of a band are compared, and the deviations that an
-#: estimate may lie below the threshold and still be verified.
-CELL = 512
-SURE = 6
-#: Ranges of ids that texts are dealt into to meet the next one.
-RANGES = 512
+#: Rows and shingles on either side of a cell in which followers of a band are compared, and shingles
+#: that are counted at once.
+CELL = 1024
+CELL_SHINGLES = 1 << 19
+COUNTED = 2048
+#: Bytes of text of a range of ids, and bounds of the number of ranges: their heads go to the driver.
+RANGE_BYTES = 16 << 20
+RANGES = (512, 65536)
+#: Bytes that are packed, or unpacked, in a step.
+STEP_BYTES = 1 << 20
+#: Texts that a task remembers to have cut into shingles.
+REMEMBERED = 100_000
 
 _rng = np.random.default_rng(SEED)
-A = _rng.integers(0, 1 << 63, FUNCTIONS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-B = _rng.integers(0, 1 << 63, FUNCTIONS, np.int64).astype(np.uint64)
+A = _rng.integers(0, 1 << 31, FUNCTIONS, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+B = _rng.integers(0, 1 << 32, FUNCTIONS, np.int64).astype(np.uint32)
 del _rng
 #: The component of a text without words.
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes (below 2^32) of the word shingles; a shorter text is one shingle, and one
+    """Distinct 32-bit hashes of the word shingles, in order; a shorter text is one shingle, and one
     without words has none. Words are what ASCII white space separates."""
     words = text.split()
     if not words:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     digest = xxhash.xxh64_intdigest
     each = np.fromiter(map(digest, words), np.uint64, len(words))
     n = max(1, len(words) - size + 1)
@@ -59,15 +66,17 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     for k in range(min(size, len(words))):
         mixed = (mixed ^ each[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed >> np.uint64(32))
+    found = (mixed >> np.uint64(32)).astype(np.uint32)
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """The least value of every function over a text's shingles, as unsigned 32-bit integers."""
+    """The least value of every permutation over a text's shingles, as unsigned 32-bit integers."""
     best = np.full(FUNCTIONS, EMPTY, np.uint32)
     for lo in range(0, len(found), 1024):  # so that the products stay in the cache
-        some = found[lo : lo + 1024]
-        values = ((A[:, None] * some + B[:, None]) >> np.uint64(32)).astype(np.uint32)
+        values = A[:, None] * found[lo : lo + 1024]
+        values += B[:, None]
         np.minimum(best, values.min(axis=1), out=best)
     return best
 
@@ -82,39 +91,67 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, last, rank) rows dealt out by ranges of ids and sorted, descending, so that the
-    next row is the next document. ``last`` marks a range's extra row: the first document of the range
-    after it (after the last: of the first one), so that no range needs another.
+def _place(x: Column, bounds: list[float]) -> Column:
+    """How many of the falling ``bounds`` are above x, in two steps of about a square root each."""
+    width = max(1, int(len(bounds) ** 0.5))
+    rows = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    above = lambda some: F.size(F.filter(some, lambda b: b > x))
+    number = lambda values: F.array(*map(F.lit, values))
+    # Of a row the last bound is the least: rows whose last is above x count whole.
+    whole = above(number([r[-1] for r in rows]))
+    rest = F.coalesce(above(F.get(F.array(*map(number, rows)), whole)), F.lit(0))
+    return F.least(whole * width, F.lit(len(bounds))) + F.when(whole < len(rows), rest).otherwise(0)
+
+
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", narrow: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """(doc_id, packed, last, range, tid, kind, more's columns) rows dealt out by ranges of ids and
+    sorted, descending, so that the next row is the next document. ``packed`` is the text as a zstandard
+    frame, as texts are shuffled whole. ``last`` marks a range's extra row:
+    the first document of the range after it (after the last: of the first one), so that no range
+    needs another. ``tid`` is the text's hash.
 
     Range bounds are quantiles of the ids; they only decide how rows are dealt out. Rows that repeat
-    an id follow each other by hash and text.
+    an id follow each other by hash and text. ``narrow`` may give the rows' (doc_id, tid). ``more``,
+    with doc_id, tid and other columns, adds rows (kind 0, nothing packed) ahead of theirs (kind 1).
     """
-    named = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), F.coalesce(column(docs, text), F.lit("")).alias("text"))
-    quantiles = named.select(F.col("doc_id").cast("double").alias("x")).dropna().approxQuantile("x", [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)
+    text_of = F.coalesce(column(docs, text), F.lit(""))
+    named = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of).alias("tid"), text_of.alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in steps(batches, at := 4, STEP_BYTES):
+            packed = pa.array([packer.compress(x) for x in as_bytes(batch.column(at))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], packed], [*batch.schema.names[:at], "packed"])
+
+    narrow = narrow if narrow is not None else named.select("doc_id", "tid")
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(max(size // RANGE_BYTES, RANGES[0]), RANGES[1])
+    quantiles = narrow.select(F.col("doc_id").cast("double").alias("x")).dropna().approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.5 / ranges)
     bounds = sorted(set(quantiles), reverse=True)
-    # Range 0 has the largest ids; a null id comes last of all.
-    place = F.lit(len(bounds) + 1)
-    if bounds:
-        steps_ = F.array(*[F.lit(float(b)) for b in bounds])
-        place = F.when(F.col("doc_id").isNull(), place).otherwise(F.size(F.filter(steps_, lambda b: b > F.col("doc_id").cast("double"))))
-    rows = named.withColumn("range", place)
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
-    # At most RANGES + 1 rows come here: the first document of each range, and the range before it.
-    first = sorted(rows.groupBy("range").agg(F.max(order).alias("top")).collect())
-    if not first:
-        return rows.withColumn("last", F.lit(False)).select("doc_id", "text", "range", "last")
-    heads = [(r["range"], first[k - 1]["range"], r.top.id, r.top.h) for k, r in enumerate(first)]
-    heads = F.broadcast(docs.sparkSession.createDataFrame(heads, "own int, to int, id long, h long"))
-    found = rows.join(heads, (F.col("range") == F.col("own")) & (order == F.struct("id", "h")))
-    extra = found.groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("last"))
-    dealt = rows.withColumn("last", F.lit(False)).unionByName(extra)
-    return dealt.repartition("range").sortWithinPartitions("range", "last", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
 
+    def placed(df: DataFrame) -> DataFrame:
+        # Range 0 has the largest ids; a null id comes last of all.
+        return df.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_place(F.col("doc_id").cast("double"), bounds) if bounds else F.lit(0)))
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    # A row for each range comes here: its first document, and the range before it.
+    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("tid").alias("h"))
+    first = sorted(placed(narrow).groupBy("range").agg(F.max(order).alias("top")).collect())
+    heads = [(r["range"], first[k - 1]["range"], r.top.id, r.top.h) for k, r in enumerate(first)]
+    heads = F.broadcast(docs.sparkSession.createDataFrame(heads, "own int, to int, head long, h long"))
+    found = placed(named).join(heads, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head")).filter((F.col("range") == F.col("own")) & (F.col("tid") == F.col("h")))
+    extra = found.groupBy("to").agg(*[F.first(c).alias(c) for c in ("doc_id", "tid", "text")])
+    dealt = placed(named).withColumn("last", F.lit(False)).unionByName(extra.withColumnRenamed("to", "range").withColumn("last", F.lit(True)))
+    dealt = dealt.select("doc_id", "tid", "range", "last", "text").mapInArrow(pack, "doc_id long, tid long, range int, last boolean, packed binary")
+    dealt = dealt.withColumn("kind", F.lit(1))
+    if more is not None:
+        dealt = dealt.unionByName(placed(more).withColumns({"last": F.lit(False), "kind": F.lit(0)}), allowMissingColumns=True)
+    return dealt.repartition("range").sortWithinPartitions("range", "last", F.desc_nulls_last("doc_id"), F.desc("tid"), "kind")
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, signature, edited_signature (binary, big-endian), near_edited,
-    near_next, mark (hash of the set of shingles)), one row per row.
+    near_next, class_id, n_class), one row per row. ``rows`` may give the documents' (doc_id, tid), and
+    ``classes`` (doc_id, tid, class_id, n_class), one for each pair; without, the last two are null.
 
     The next document is that of the next smaller id, after the smallest the first; alone, a document
     follows itself. A null text is empty; two texts without words are alike (1). Rows that repeat an
@@ -122,85 +159,96 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     ship(docs.sparkSession)
 
-    def work(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
+    def work(pairs: list[tuple]) -> pa.RecordBatch:
         out = []
-        known: dict[str, tuple[np.ndarray, int]] = {}
+        known: dict[str, np.ndarray] = {}
 
-        def of(x: str) -> tuple[np.ndarray, int]:
+        def of(x: str) -> np.ndarray:
             if x not in known:
-                found = shingles(x.encode())
-                known[x] = signature(found), _mark(found)
+                known[x] = signature(shingles(x.encode()))
             return known[x]
 
-        for i, x, following in pairs:
-            changed = edited(x, following)
-            (own, mark), other, (after, _) = of(x), signature(shingles(changed.encode())), of(following)
-            out.append((i, len(x), hashlib.sha256(changed.encode()).hexdigest(), own.astype(">u4").tobytes(), other.astype(">u4").tobytes(), likeness(own, other), likeness(own, after), mark))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64()]
-        names = ["doc_id", "n_chars", "edited_sha256", "signature", "edited_signature", "near_edited", "near_next", "mark"]
+        for i, x, class_id, n_class, following in pairs:
+            changed = edited(x, following).encode()
+            own, other, after = of(x), signature(shingles(changed)), of(following)
+            out.append((i, len(x), hashlib.sha256(changed).hexdigest(), own.astype(">u4").tobytes(), other.astype(">u4").tobytes(), likeness(own, other), likeness(own, after), class_id, n_class))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "n_chars", "edited_sha256", "signature", "edited_signature", "near_edited", "near_next", "class_id", "n_class"]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         held = None  # the row before, which waits for its next one
-        for batch in steps(batches, 1):
+        known = (None, None)
+        for batch in steps(batches, 1, STEP_BYTES):
             pairs = []
-            texts = [x.decode("utf-8", "replace") for x in as_bytes(batch.column(1))]
-            for i, x, last in zip(batch.column(0).to_pylist(), texts, batch.column(3).to_pylist(), strict=True):
+            texts = ["" if x is None else unpacker.decompress(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            for i, x, last, kind, *of in zip(batch.column(0).to_pylist(), texts, *(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                if kind == 0:
+                    known = tuple(of)
+                    continue
                 if held is not None:
                     pairs.append((*held, x))
-                held = None if last else (i, x)
+                held = None if last else (i, x, *known)
             yield work(pairs)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, signature binary, edited_signature binary, near_edited double, near_next double, mark long"
-    return with_next(docs, doc_id, text).mapInArrow(run, schema)
-
-
-def _marks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, mark): a hash of each row's set of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, 1):
-            marks = [_mark(shingles(x)) for x in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "mark"])
-
-    named = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), column(docs, text).alias("text"))
-    return named.mapInArrow(run, "doc_id long, mark long")
+    if classes is None:
+        classes = docs.sparkSession.createDataFrame([], "doc_id long, tid long, class_id long, n_class long")
+    schema = "doc_id long, n_chars long, edited_sha256 string, signature binary, edited_signature binary, near_edited double, near_next double, class_id long, n_class long"
+    return with_next(docs, doc_id, text, rows, classes).select("doc_id", "packed", "last", "kind", "class_id", "n_class").mapInArrow(run, schema)
 
 
-def _nodes(docs: DataFrame, doc_id: str, text: str, bands: int) -> DataFrame:
-    """(mark, id, bands, sketch) of every set of shingles, with the least id that has it, written. A
-    band is a hash of its components, ``sketch`` has a byte of each component. Sets without shingles
-    have no bands."""
+def _rows(docs: DataFrame, doc_id: str, text: str, bands: int) -> DataFrame:
+    """(doc_id, tid, mark, bands) of every row, written: the hashes of its text and of its set of
+    shingles, and of each band's components. Sets without shingles have no bands."""
     ship(docs.sparkSession)
-    named = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), column(docs, text).alias("text"))
+    full = F.coalesce(column(docs, text), F.lit(""))
+    named = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), F.xxhash64(full).alias("tid"), full.alias("text"))
     width = FUNCTIONS // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, 1):
-            marks, keys, sketches = [], [], []
-            for x in as_bytes(batch.column(1)):
+        for batch in steps(batches, 2, STEP_BYTES):
+            marks, keys = [], []
+            for x in as_bytes(batch.column(2)):
                 found = shingles(x)
-                sig = signature(found).astype("<u4")
+                sig = signature(found).astype("<u4").tobytes()
                 marks.append(_mark(found))
-                keys.append([_key(sig[k * width : (k + 1) * width].tobytes(), k) >> 32 for k in range(bands)] if len(found) else [])
-                sketches.append(sig.astype("u1").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], ["doc_id", "mark", "bands", "sketch"])
+                keys.append([_key(sig[4 * k * width : 4 * (k + 1) * width], k) >> 32 for k in range(bands)] if len(found) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int32()))], ["doc_id", "tid", "mark", "bands"])
+        pa.default_memory_pool().release_unused()
 
-    every = named.mapInArrow(run, "doc_id long, mark long, bands array<int>, sketch binary")
-    # Rows of one set have equal bands and sketches, so any of them will do; copies meet before the shuffle.
-    return cut_lineage(every.groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    return cut_lineage(named.mapInArrow(run, "doc_id long, tid long, mark long, bands array<int>"))
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """(mark, id, tid, bands) of every set of shingles, with the least id that has it, written. Rows of
+    one set have equal bands, so any of them will do; copies meet before the shuffle."""
+    return cut_lineage(rows.groupBy("mark").agg(F.min("doc_id").alias("id"), F.min("tid").alias("tid"), F.first("bands").alias("bands")))
 
 
 def _sets(docs: DataFrame, text: str, need: DataFrame) -> DataFrame:
-    """(mark, shingles) of the marks in ``need``, one row each."""
+    """(mark, shingles) of the sets in ``need`` (mark, tid), one row each. Texts that aren't in a filter
+    of the hashes are left where they are."""
+    bits = key_filter(need.select("tid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, 0):
-            found = [shingles(x) for x in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([_mark(s) for s in found], pa.int64()), pa.array([s.astype("<u4").tobytes() for s in found], pa.binary())], ["mark", "shingles"])
-
-    made = docs.select(column(docs, text).alias("text")).mapInArrow(run, "mark long, shingles binary")
-    return made.join(need, "mark", "left_semi").groupBy("mark").agg(F.first("shingles").alias("shingles"))
+        done: set[int] = set()
+        for part in steps(batches, 1, STEP_BYTES):
+            tids, texts = part.column(0).to_numpy(), part.column(1).cast(pa.binary())
+            made: dict[int, np.ndarray] = {}
+            for k in np.flatnonzero(may_hold(bits.value, tids)).tolist():
+                if (t := int(tids[k])) not in done:
+                    found = shingles(texts[k].as_py())
+                    made[_mark(found)] = found
+                    if len(done) < REMEMBERED:
+                        done.add(t)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([s.astype("<u4").tobytes() for s in made.values()], pa.binary())], ["mark", "shingles"])
+        pa.default_memory_pool().release_unused()
+
+    full = F.coalesce(column(docs, text), F.lit(""))
+    made = docs.select(F.xxhash64(full).alias("tid"), full.alias("text")).mapInArrow(run, "mark long, shingles binary")
+    return made.join(need.select("mark"), "mark", "left_semi").groupBy("mark").agg(F.first("shingles").alias("shingles"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -219,20 +267,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, jaccard double").filter(F.col("jaccard") >= threshold)
 
 
-def _across(least: int):
-    """Streams rows (band, a, b, side, node, label, sketch) sorted by cell (band, a, b). Gives the pairs
-    of a row of side 0 and one of side 1 that have different labels and ``least`` equal bytes."""
-
-    def meet(side: np.ndarray, node: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of one list shares with each of the other."""
+    flat = [np.concatenate(x) for x in (one, two)]
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two)]
+    both = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    at = [np.searchsorted(both, x) for x in flat]
+    known = [(k < len(both)) & (both[np.minimum(k, len(both) - 1)] == x) if len(both) else np.zeros(len(x), bool) for k, x in zip(at, flat, strict=True)]
+    at, row = [k[on] for k, on in zip(at, known, strict=True)], [r[on] for r, on in zip(row, known, strict=True)]
+    # Whole numbers below 2^24, which few sets reach, are exact in single precision.
+    total = np.zeros((len(one), len(two)), np.float32 if max(map(len, one)) < 1 << 24 else np.float64)
+    for lo in range(0, len(both), COUNTED):
+        sides = []
+        for k, r, n in zip(at, row, (len(one), len(two)), strict=True):
+            some = (k >= lo) & (k < lo + COUNTED)
+            side = np.zeros((n, min(COUNTED, len(both) - lo)), np.float32)
+            side[r[some], k[some] - lo] = 1
+            sides.append(side)
+        total += sides[0] @ sides[1].T  # whole numbers up to COUNTED are exact
+    return total
+
+
+def _across(threshold: float):
+    """Streams rows (band, a, b, side, node, label, number, bands, shingles) sorted by cell (band, a, b).
+    Of a cell's pairs of a row of side 0 and one of side 1 with different labels, at least ``threshold``
+    alike, it gives (u, v, jaccard) of a spanning forest: not more rows than the cell has labels. Pairs
+    that share a band of a smaller number are that band's."""
+
+    def meet(side: np.ndarray, node: np.ndarray, label: np.ndarray, number: int, bands: np.ndarray, sets: list[bytes]) -> pa.RecordBatch:
+        names, of = np.unique(label, return_inverse=True)
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in one.tolist():
-            other = two[label[two] != label[k]]
-            near = other[(sketch[other] == sketch[k]).sum(axis=1) >= least]
-            us.append(np.full(len(near), node[k]))
-            vs.append(node[near])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        own = of[one][:, None] != of[two]
+        for k in range(number):
+            own &= bands[one, k][:, None] != bands[two, k]
+        us, vs, likes = [], [], []
+        one, two = one[own.any(axis=1)], two[own.any(axis=0)]
+        if len(one):
+            own = own[own.any(axis=1)][:, own.any(axis=0)]
+            x, y = ([np.frombuffer(sets[k], "<u4") for k in part] for part in (one, two))
+            both = _shared(x, y)
+            size = np.array([len(s) for s in y])
+            tree = np.arange(len(names))
+            for i in range(len(one)):
+                shared = both[i].astype(np.float64)
+                value = shared / (len(x[i]) + size - shared)
+                cols, mine = np.flatnonzero(own[i] & (value >= threshold)), tree[of[one[i]]]
+                tops, first = np.unique(tree[of[two[cols]]], return_index=True)
+                for j in cols[first[tops != mine]].tolist():
+                    us.append(min(node[one[i]], node[two[j]]))
+                    vs.append(max(node[one[i]], node[two[j]]))
+                    likes.append(value[j])
+                tree[np.isin(tree, tops)] = mine
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(likes, pa.float64())], ["u", "v", "jaccard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -246,41 +332,81 @@ def _across(least: int):
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 some = rows.slice(lo, hi - lo)
                 side, node, label = (some.column(k).to_numpy() for k in (3, 4, 5))
-                sketch = np.frombuffer(b"".join(some.column(6).to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
-                yield meet(side, node, label, sketch)
+                bands = np.array(some.column(7).to_pylist(), np.int32)
+                yield meet(side, node, label, some.column(6)[0].as_py(), bands, some.column(8).to_pylist())
             held = [] if last else rows.slice(edges[-1]).to_batches()
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                yield from cells(False)
+                key = [batch.column(k) for k in range(3)]
+                if any(c[0] != c[batch.num_rows - 1] for c in key) or any(c[0] != held[0].column(k)[0] for k, c in enumerate(key)):
+                    yield from cells(False)
         if held:
             yield from cells(True)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _rest(shared: DataFrame, nodes: DataFrame, label: DataFrame, least: int) -> DataFrame:
-    """(u, v): the pairs of followers of a band that have different labels and may be similar.
+def _rest(shared: DataFrame, nodes: DataFrame, sets: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, jaccard): links that join all similar followers of a band that have different labels.
 
     Of each band, followers outside its commonest label meet all of its followers, in cells of about
-    ``CELL`` rows a side, so that many tasks make the pairs of a hot band. Pairs with the band's leader
-    are not repeated.
+    ``CELL`` rows and ``CELL_SHINGLES`` shingles a side, so that many tasks compare the pairs of a hot
+    band; pairs are verified where they meet and never become rows. Pairs with the band's leader are
+    not repeated.
     """
-    named = shared.filter("leader.mark <> mark").join(label.withColumnRenamed("node", "mark"), "mark", "left").select("band", "mark", F.coalesce("label", "mark").alias("label"))
+    named = shared.filter("leader <> mark").join(label.withColumnRenamed("node", "mark"), "mark", "left").select("band", "mark", F.coalesce("label", "mark").alias("label"))
     named = cut_lineage(named)
-    count = named.groupBy("band", "label").agg(F.count("*").alias("n"))
-    open_ = count.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-    parts = lambda n: F.ceil(n / CELL).cast("int")
-    open_ = cut_lineage(open_.select("band", F.col("top.label").alias("major"), parts(F.col("all")).alias("nb"), parts(F.col("all") - F.col("top.n")).alias("na")))
-    rows = named.join(open_, "band").join(nodes.select("mark", "sketch"), "mark")
-    rows = cut_lineage(rows.select("band", F.col("mark").alias("node"), "label", "sketch", "major", "na", "nb"))
+    weight = sets.select("mark", (F.length("shingles") / 4).alias("size"))
+    count = named.join(weight, "mark").groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    open_ = count.groupBy("band").agg(F.sum("n").alias("all"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    parts = lambda n, size: F.ceil(F.greatest(n / CELL, size / CELL_SHINGLES)).cast("int")
+    open_ = cut_lineage(open_.select("band", F.col("top.label").alias("major"), parts(F.col("all"), F.col("size")).alias("nb"), parts(F.col("all") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("na")))
+    number = F.shiftright("band", 32).cast("int").alias("number")
+    rows = named.join(open_, "band").join(nodes.select("mark", "bands"), "mark").join(sets, "mark")
+    rows = rows.select("band", F.col("mark").alias("node"), "label", number, "bands", "shingles", "major", "na", "nb")
     place = F.xxhash64("node")
-    one = rows.filter("label <> major").withColumns({"a": F.pmod(place, F.col("na")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("nb") - 1)), "side": F.lit(0)})
-    two = rows.withColumns({"b": F.pmod(place, F.col("nb")).cast("int"), "a": F.explode(F.sequence(F.lit(0), F.col("na") - 1)), "side": F.lit(1)})
-    names = ["band", "a", "b", "side", "node", "label", "sketch"]
-    cells = one.select(names).union(two.select(names)).repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
-    return cells.mapInArrow(_across(least), "u long, v long").distinct()
+    sides = F.array(
+        *[
+            F.struct(F.lit(side).alias("side"), a.alias("a"), b.alias("b"))
+            for side, a, b in (
+                (0, F.array(F.pmod(place, F.col("na")).cast("int")), F.sequence(F.lit(0), F.col("nb") - 1)),
+                (1, F.sequence(F.lit(0), F.col("na") - 1), F.array(F.pmod(place, F.col("nb")).cast("int"))),
+            )
+        ]
+    )
+    # A row goes to every cell of its line (side 0, if it isn't of the commonest label) and column (side 1).
+    cells = rows.withColumn("s", F.explode(sides)).filter("s.side = 1 or label <> major")
+    cells = cells.withColumn("a", F.explode("s.a")).withColumn("b", F.explode("s.b")).withColumn("side", F.col("s.side"))
+    cells = cells.select("band", "a", "b", "side", "node", "label", "number", "bands", "shingles").repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
+    return cells.mapInArrow(_across(threshold), "u long, v long, jaccard double")
+
+
+def _shared_bands(nodes: DataFrame) -> DataFrame:
+    """(band, mark, leader) of the bands that two or more sets have, written; the leader is the mark of
+    the least id. A band's number is in its upper half."""
+    # The bands of all sets are shuffled once, to be counted; those that occur once go no further.
+    every = nodes.select(F.posexplode("bands").alias("k", "band")).select(F.expr("shiftleft(cast(k as bigint), 32) | (band & 4294967295)").alias("band"))
+    twice = cut_lineage(every.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"))
+    bits = key_filter(twice)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF
+            number = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            band, mark = number << 32 | flat, np.repeat(batch.column(0).to_numpy(), size)
+            some = may_hold(bits.value, band)
+            ids = batch.column(2).take(pa.array(np.repeat(np.arange(batch.num_rows), size)[some]))
+            yield pa.RecordBatch.from_arrays([pa.array(band[some]), pa.array(mark[some]), ids], ["band", "mark", "id"])
+
+    members = cut_lineage(nodes.select("mark", "bands", "id").mapInArrow(run, "band long, mark long, id long").join(twice, "band"))
+    key = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "mark")
+    leader = cut_lineage(members.groupBy("band").agg(F.min(key).alias("first")).select("band", F.col("first.mark").alias("leader")))
+    return cut_lineage(members.join(leader, "band").select("band", "mark", "leader"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -289,22 +415,15 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", threshold: floa
 
     First each set meets the leader of each of its bands, the one of the least id. What then has
     different labels in a band is compared too, followers with followers, so that the components are
-    those of all pairs that share a band. Sketches leave out pairs that are ``SURE`` deviations below.
+    those of all pairs that share a band.
     """
-    banded = nodes.select("mark", "id", F.posexplode("bands").alias("k", "band"))
-    banded = banded.select("mark", "id", F.expr("shiftleft(cast(k as bigint), 32) | (band & 4294967295)").alias("band"))
-    # Only bands are shuffled whole; what meets no other set stays where it is.
-    twice = cut_lineage(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"))
-    members = cut_lineage(banded.join(twice, "band"))
-    key = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "mark")
-    first = cut_lineage(members.groupBy("band").agg(F.min(key).alias("leader")))
-    shared = cut_lineage(members.join(first, "band").select("band", "mark", "leader"))
-    sets = cut_lineage(_sets(docs, text, shared.select("mark").distinct()))
-    stars = shared.filter("leader.mark <> mark").select(F.col("leader.mark").alias("u"), F.col("mark").alias("v"))
+    shared = _shared_bands(nodes)
+    need = nodes.select("mark", "tid").join(shared.select("mark").distinct(), "mark", "left_semi")
+    sets = cut_lineage(_sets(docs, text, cut_lineage(need)))
+    stars = shared.filter("leader <> mark").select(F.col("leader").alias("u"), F.col("mark").alias("v"))
     near = cut_lineage(_verified(stars.distinct(), sets, threshold))
     label = cut_lineage(components(near))
-    least = int(FUNCTIONS * threshold - SURE * (FUNCTIONS * threshold * (1 - threshold)) ** 0.5)
-    more = cut_lineage(_verified(_rest(shared, nodes, label, least), sets, threshold))
+    more = cut_lineage(_rest(shared, nodes, sets, label, threshold))
     if more.isEmpty():
         return near, label
     return near.union(more), cut_lineage(components(near.union(more)))
@@ -326,9 +445,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     Texts without words are one class. Rows that repeat give repeated rows; class_id is null only if
     no row of a class has an id. No rows give none.
     """
-    nodes = _nodes(docs, doc_id, text, bands)
+    rows = _rows(docs, doc_id, text, bands)
+    nodes = _nodes(rows)
     _, label = links(docs, nodes, text, threshold)
-    return _marks(docs, doc_id, text).join(_classes(nodes, label), "mark").select("doc_id", "class_id")
+    return rows.join(_classes(nodes, label), "mark").select("doc_id", "class_id")
 
 
 def leaders(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
@@ -340,7 +460,8 @@ def leaders(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     lead themselves, as do rows without an id in a set that has none. Rows that repeat give repeated
     rows, no rows give none.
     """
-    nodes = _nodes(docs, doc_id, text, bands)
+    rows = _rows(docs, doc_id, text, bands)
+    nodes = _nodes(rows)
     edges, label = links(docs, nodes, text, threshold)
     id_of = nodes.select("mark", "id")
     known = edges.join(id_of.toDF("u", "x"), "u").join(id_of.toDF("v", "y"), "v")
@@ -349,7 +470,7 @@ def leaders(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     best = down.groupBy("mark").agg(F.max(F.struct("jaccard", (-F.col("to")).alias("minus"))).alias("b")).select("mark", (-F.col("b.minus")).alias("leader"), "b.jaccard")
     of = cut_lineage(_classes(nodes, label).join(best, "mark", "left"))
     empty = F.col("mark") == _mark(np.zeros(0, np.uint64))
-    return _marks(docs, doc_id, text).join(of, "mark").select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("leader", "own")).alias("leader_id"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"), "class_id")
+    return rows.join(of, "mark").select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("leader", "own")).alias("leader_id"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"), "class_id")
 
 
 def _mark(found: np.ndarray) -> int:
@@ -363,7 +484,9 @@ def _key(raw: bytes, seed: int) -> int:
 def op5_minhash(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex of the signature),
     near_edited, near_next, class_id (see ``classes``), n_class (different sets of shingles in it)."""
-    nodes = _nodes(docs, "doc_id", "text", BANDS)
+    rows = _rows(docs, "doc_id", "text", BANDS)
+    nodes = _nodes(rows)
     _, label = links(docs, nodes)
-    found = fingerprints(docs).join(_classes(nodes, label), "mark")
+    of = rows.select("doc_id", "tid", "mark").distinct().join(_classes(nodes, label), "mark").groupBy("doc_id", "tid").agg(F.min("class_id").alias("class_id"), F.max("n_class").alias("n_class"))
+    found = fingerprints(docs, rows=rows.select("doc_id", "tid"), classes=of)
     return found.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("signature")).alias("fingerprint"), F.lower(F.hex("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id", "n_class")

@@ -159,11 +159,51 @@ def test_every_pair_is_in_one_class(make_docs, monkeypatch):
     assert {r.doc_id: r.class_id for r in M.leaders(make_docs(rows)).collect()} == want
 
 
+def hot_rows(n, size, share, seed):
+    """Texts of one pattern, each of which keeps ``share`` of its words: alike, but less than 0.8."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    return [(i, " ".join(w if rng.random() < share else f"x{rng.random()}" for w in base)) for i in range(n)]
+
+
 def test_followers_of_a_hot_band_are_compared(make_docs, monkeypatch):
-    """With equal bands everywhere all meet one leader, who is like none of them."""
-    monkeypatch.setattr(M, "CELL", 5)
-    plain = M._key
-    monkeypatch.setattr(M, "_key", lambda raw, seed: 0 if seed < M.BANDS else plain(raw, seed))
-    rows = [(i + 1, t) for i, t in similar_rows()[:60]] + [(0, "a leader that is like no other text here")]
-    got = {r.doc_id: r.class_id for r in M.classes(make_docs(rows)).collect()}
-    assert got == true_classes(rows)[0]
+    """All share bands, few are links: what the cells give out stays below their number of rows."""
+    rows = hot_rows(150, 400, 0.975, 5)
+    copies = [(1000 + i, t.replace("b7 ", "edit ").replace("b300 ", "edit ")) for i, t in rows[:40]]
+    want, pairs = true_classes(rows + copies)
+    assert 40 <= len(pairs) < 400
+    made = []
+    plain = M._rest
+    monkeypatch.setattr(M, "_rest", lambda *a: made.append(M.cut_lineage(plain(*a))) or made[0])
+    monkeypatch.setattr(M, "CELL", 64)
+    got = {r.doc_id: r.class_id for r in M.classes(make_docs(rows + copies)).collect()}
+    assert got == want
+    assert made[0].count() < 32 * len(want)
+
+
+def test_cells_give_a_forest():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.choice(10**6, 500, replace=False)
+    sets = [np.sort(np.concatenate([np.delete(base, rng.choice(500, 40, replace=False)), rng.integers(2 * 10**6, 10**9, 20)])).astype("<u4") for _ in range(300)]
+    n = len(sets)
+    cols = {"band": np.zeros(2 * n, np.int64), "a": np.zeros(2 * n, np.int32), "b": np.zeros(2 * n, np.int32), "side": np.repeat([0, 1], n).astype(np.int32), "node": np.tile(np.arange(n), 2), "label": np.tile(np.arange(n), 2), "number": np.full(2 * n, 1, np.int32)}
+    arrays = [pa.array(c) for c in cols.values()] + [pa.array([[5, 6]] * (2 * n), pa.list_(pa.int32())), pa.array([s.tobytes() for s in sets] * 2, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(arrays, [*cols, "bands", "shingles"])
+    assert sum(b.num_rows for b in M._across(0.8)(iter([batch]))) == 0  # they share the first band, which is not this one
+    batch = batch.set_column(6, "number", pa.array(np.zeros(2 * n, np.int32)))
+    got = [r for b in M._across(0.8)(iter([batch.slice(0, 100), batch.slice(100)])) for r in b.to_pylist()]
+    assert len(got) == n - 1
+    for r in got:
+        x, y = sets[r["u"]], sets[r["v"]]
+        assert abs(r["jaccard"] - len(np.intersect1d(x, y)) / len(np.union1d(x, y))) < 1e-12 and r["jaccard"] >= 0.8
+
+
+def test_ranges_of_ids(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3, 7, 50, 200):
+        bounds = [float(b) for b in sorted(random.Random(n).sample(range(1000), n), reverse=True)]
+        got = spark.range(-5, 1005).select("id", M._place(F.col("id").cast("double"), bounds).alias("p")).collect()
+        assert all(r.p == sum(b > r.id for b in bounds) for r in got)

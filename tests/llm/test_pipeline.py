@@ -8,7 +8,7 @@ import sentencepiece
 
 import corpus_pipeline as P
 from clauseloom.llm import op1_mixing, op2_sentencepiece, op6_language, op9_lines, op10_simhash
-from test_op5_minhash import similar_rows, true_classes
+from test_op5_minhash import jaccard, sets, similar_rows, true_classes
 from test_op6_language import WORDS
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -24,6 +24,10 @@ def rows_of(seed=7, n=150):
         if rng.random() < 0.3:
             body.insert(rng.randrange(len(body) + 1), rng.choice(shared))
         text = rows[rng.randrange(len(rows))][1] if rows and rng.random() < 0.2 else "\n".join(body)
+        if rows and rng.random() < 0.15:  # a near copy, beyond two bits of SimHash
+            words = max((r[1] for r in rng.sample(rows, min(5, len(rows)))), key=len).split(" ")
+            words[len(words) // 2] = rng.choice(WORDS[lang])
+            text = " ".join([*words, rng.choice(WORDS[lang])])
         rows.append((i, text, lang, rng.choice(["src0", "src0", "src1", "src9", None])))
     rows += [(900, None, "en", "src0"), (901, "12 34", "en", "src1"), (902, "", None, None), (3, rows[3][1], rows[3][2], rows[3][3])]
     return [(*r, len(r[1] or "")) for r in rows]
@@ -57,17 +61,19 @@ def plain(spark, table):
             if e - s > 1 and count[chunk] > 1 and first[chunk] != (r[0], s):
                 left[s:e] = [False] * (e - s)
         cut.append((r[0], b"\n".join(x for x, k in zip(lines, left, strict=True) if k).decode(), *r[2:4]))
-    # One of each group of near fingerprints.
-    fps = [op10_simhash.fingerprint(r[1].encode()) for r in cut]
+    # One of each group of texts that are 0.8 alike, on shingles of five words in lower case.
+    shingled = [sets(r[1].lower()) for r in cut]
     group = list(range(len(cut)))
     for i in range(len(cut)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2 and group[i] != group[j]:
+            if jaccard(shingled[i], shingled[j]) >= 0.8 and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     least = {}
     for g, r in zip(group, cut, strict=True):
         least[g] = min(least.get(g, r[0]), r[0])
+    fps = [op10_simhash.fingerprint(r[1].encode()) for r in cut]
+    assert any(group[i] == group[j] and (fps[i] ^ fps[j]).bit_count() > 2 for i in range(len(cut)) for j in range(i))
     kept = sorted({r for g, r in zip(group, cut, strict=True) if least[g] == r[0]}, key=str)
     # The order of the mixture.
     parts = op1_mixing.quotas(op1_mixing.WEIGHTS, op1_mixing.REST)
