@@ -5,11 +5,14 @@ SQL texts are put together from named common table expressions, each listing wha
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clauseloom.session import plan_by_sizes
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -44,7 +47,13 @@ def query(name: str, check: str | None = None, *needs: str) -> Callable[[Query],
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+            plan_by_sizes(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = planned
         if check is not None:
             ORACLES[name] = sql(check, *needs)
         return fn
