@@ -126,3 +126,15 @@ def test_near_copies_against_true_jaccard(make_docs):
     got = P.near_copies(None, make_docs([*rows, *shout, (None, rows[0][1])]), "").collect()
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(set(want.values()))
     assert sum(r.doc_id is None for r in got) == 1
+
+
+def test_near_copies_follow_simhash_links(make_docs):
+    """Texts within two bits of SimHash are one group, however few sets of shingles they share; other texts
+    of an id don't tie groups together."""
+    base = "in the end " * 400
+    rows = [(1, base + " ".join(f"a{i}" for i in range(12))), (2, base + " ".join(f"b{i}" for i in range(12)))]
+    fp = [op10_simhash.fingerprint(t.encode()) for _, t in rows]
+    assert (fp[0] ^ fp[1]).bit_count() <= 2 and jaccard(*(sets(t) for _, t in rows)) < 0.8
+    alone = [(5, "one text that nothing here is like at all"), (6, "and some other words of another one altogether")]
+    got = P.near_copies(None, make_docs([*rows, *alone, (7, alone[0][1]), (7, alone[1][1])]), "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 5, 6]
