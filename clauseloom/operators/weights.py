@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import text as X
 from clauseloom.operators.dialog import debating_speakers, pair_speakers
 from clauseloom.operators.ordered import row_index, with_totals
-from clauseloom.session import cut_lineage
+from clauseloom.session import cut_lineage, dealt
 
 
 def bag_of_words(docs: DataFrame, tokens: Column, keys: Sequence[str] = ("meeting", "doc")) -> DataFrame:
@@ -40,7 +40,8 @@ def document_bag(docs: DataFrame, tokens: Column) -> DataFrame:
     # The length is a column before the words are unfolded, else each word would carry the array;
     # and the outer form of explode keeps the planner from testing for empty arrays beforehand,
     # which would tokenize the text once more.
-    rows = docs.select("meeting", "doc", tokens.alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
+    # Texts are dealt out by document before they are unfolded, so that words are counted where they are.
+    rows = dealt(docs, "meeting", "doc").select("meeting", "doc", tokens.alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
     words = rows.select("meeting", "doc", "doc_len", F.explode_outer("tokens").alias("word")).filter(F.col("word").isNotNull())
     return words.groupBy("meeting", "doc", "word", "doc_len").agg(F.count("*").alias("n"))
 

@@ -94,3 +94,14 @@ def test_weights_have_unit_size(bag, docs):
     for made in (W.smooth_l2_tfidf(bag, n), W.log2_l2_tfidf(bag, n)):
         l2 = made.groupBy("doc").agg(F.sum(F.col("weight") * F.col("weight")).alias("s"))
         assert all(math.isclose(r["s"], 1.0) for r in l2.collect())
+
+
+def test_document_bag_shuffles_texts_only(spark, tmp_path):
+    """Words are counted in the task that unfolds them; rows that repeat a document are counted together."""
+    data = [("m", 1, "a b a"), ("m", 1, "a c c"), ("m", 1, "d"), ("n", 1, "a"), ("m", 2, None), (None, 3, "a a"), ("m", None, "b")]
+    spark.createDataFrame(data, "meeting string, doc long, text string").write.parquet(f"{tmp_path}/docs")
+    bag = W.document_bag(spark.read.parquet(f"{tmp_path}/docs"), F.split("text", " "))
+    want = [("m", 1, "a", 3, 3), ("m", 1, "b", 3, 1), ("m", 1, "c", 3, 2), ("m", 1, "d", 1, 1), ("n", 1, "a", 1, 1), (None, 3, "a", 2, 2), ("m", None, "b", 1, 1)]
+    assert sorted(map(str, map(tuple, bag.collect()))) == sorted(map(str, want))
+    final = bag._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning") == 1 and "word" not in final.split("Exchange hashpartitioning(")[1].split(")")[0]
