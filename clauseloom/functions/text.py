@@ -23,7 +23,9 @@ MEMBER_PATTERN = "◯.+番（.+）"
 MEMBER_NAME_PATTERN = r"（\P{Nd}+君）"
 ENUMERATION_PATTERN = r"[(〔]\p{Nd}+[〕)]"
 KANA_ONLY_PATTERN = "^[ぁ-ゖ]+$"
-NOUN_RUN_PATTERN = r"[\p{IsHan}々〆ヶ]{2,}|[\p{IsKatakana}ー]{2,}|[\p{IsLatin}]{2,}"
+# Runs of Han, of Katakana or of Latin letters. No run begins with ASCII up to @, and most letters are told
+# by their ranges, before their script is looked up.
+NOUN_RUN_PATTERN = r"(?![\x00-@])(?:[[a-zA-Zà-öø-ÿ]\p{IsLatin}]{2,}|[\p{IsHan}々〆ヶ]{2,}|[\p{IsKatakana}ー]{2,})"
 ANY_RUN_PATTERN = r"[\p{IsHan}々〆ヶ]+|[\p{IsKatakana}ー]+|[\p{IsHiragana}]+|[\p{IsLatin}]+"
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -73,7 +75,12 @@ def tokenize(text: Column, min_len: int = 2) -> Column:
     dictionary, so it makes no part-of-speech test; ``user_tokenizer`` plugs in one that does. No
     run is hiragana or shorter than two, so nothing is left to drop up to a ``min_len`` of 2.
     """
-    runs = F.regexp_extract_all(clean_text(text), F.lit(NOUN_RUN_PATTERN), F.lit(0))
+    # As in ``clean_text``, but for the brackets: they are in no run, so they end one as a space does.
+    out = F.regexp_replace(text, r"[@＠][\p{L}\p{N}_]+", "")
+    out = F.regexp_replace(out, r"\p{Nd}+\.*\p{Nd}*", "")
+    for mark in "、。":
+        out = F.replace(out, F.lit(mark), F.lit(""))
+    runs = F.regexp_extract_all(out, F.lit(NOUN_RUN_PATTERN), F.lit(0))
     return runs if min_len <= 2 else drop_tokens(runs, min_len)
 
 

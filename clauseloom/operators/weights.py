@@ -22,12 +22,18 @@ from clauseloom.session import cut_lineage, dealt
 def bag_of_words(docs: DataFrame, tokens: Column, keys: Sequence[str] = ("meeting", "doc")) -> DataFrame:
     """Counts of each word per key. Rows of one document may be spread over many input rows, which
     is how a cluster or pseudo document is concatenated: the order of words does not matter."""
-    return docs.select(*keys, F.explode(tokens).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    return _unfolded(docs, tokens, keys).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+
+
+def _unfolded(docs: DataFrame, tokens: Column, columns: Sequence[str]) -> DataFrame:
+    """(columns, pos, word), a row a word. For the plain form of explode the planner tests for empty arrays
+    beforehand, which tokenizes every text once more; the outer form's rows without a word are left out."""
+    return docs.select(*columns, F.posexplode_outer(tokens).alias("pos", "word")).filter(F.col("pos").isNotNull())
 
 
 def concat_documents(clauses: DataFrame, tokens: Column, keys: Sequence[str], order: str) -> DataFrame:
     """Tokens of each pseudo document as rows, in clause order."""
-    return clauses.select(*keys, order, F.posexplode(tokens).alias("pos", "word"))
+    return _unfolded(clauses, tokens, [*keys, order])
 
 
 def document_counts(docs: DataFrame) -> DataFrame:

@@ -200,3 +200,12 @@ def test_clauses_rebuild_their_paragraph(spark):
     text = "一つ、二つ。三つ！？四つ"
     parts = spark.createDataFrame([(text,)], "s string").select(X.split_clauses(F.col("s")).alias("c")).first()["c"]
     assert "".join(parts) == text.replace("！？", "！")
+
+
+def test_tokens_are_those_of_cleaned_text(spark):
+    odd = ["ab[12]cd（ef）gh", "x1@a.5y", "水、道[駅]前ヶー丘アーケード", "ªºß×÷Ÿé @park１２ ＠公園 a1.2b", "１[@x]２。b", "kﬀK", "", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(odd)], "i int, s string")
+    runs = r"[\p{IsHan}々〆ヶ]{2,}|[\p{IsKatakana}ー]{2,}|[\p{IsLatin}]{2,}"
+    plain = F.regexp_extract_all(X.clean_text(F.col("s")), F.lit(runs), F.lit(0))
+    for row in df.select("s", X.tokenize(F.col("s")).alias("found"), plain.alias("plain")).collect():
+        assert row["found"] == row["plain"], row["s"]

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from clauseloom.functions import text as X
 from clauseloom.operators import weights as W
 
 DOCS = [("m", "d1", ["a", "a", "b"]), ("m", "d2", ["b", "c"]), ("m", "d3", ["b", "d", "d", "d"])]
@@ -105,3 +106,11 @@ def test_document_bag_shuffles_texts_only(spark, tmp_path):
     assert sorted(map(str, map(tuple, bag.collect()))) == sorted(map(str, want))
     final = bag._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("Exchange hashpartitioning") == 1 and "word" not in final.split("Exchange hashpartitioning(")[1].split(")")[0]
+
+
+def test_texts_are_tokenized_once(spark):
+    texts = spark.createDataFrame([("m", "d", "水道 park"), ("m", "e", None)], "meeting string, doc string, text string")
+    for made in (W.bag_of_words(texts, X.tokenize(F.col("text"))), W.concat_documents(texts, X.tokenize(F.col("text")), ["meeting"], "doc")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1 and "translate(" not in plan
+        assert sorted(r["word"] for r in made.collect()) == ["park", "水道"]
