@@ -247,11 +247,12 @@ def topk_mean_vector(digest_clauses: DataFrame, clauses: DataFrame, n: int = 3,
     return mean_vector(full, ["meeting", "id"], n if divide_by == "n" else None)
 
 
-def speaker_pair_relation(digest_clauses: DataFrame) -> DataFrame:
+def speaker_pair_relation(digest_clauses: DataFrame, carried: Sequence[str] = ("clause",)) -> DataFrame:
     """Every pair of clauses by two speakers (the smaller name first) of a meeting, label 1 where
-    their titles are equal. digest_clauses: meeting, id, title, speaker_name, clause."""
-    a = digest_clauses.select("meeting", *[F.col(c).alias(f"policy_{c}") for c in ("id", "title", "speaker_name", "clause")])
-    b = digest_clauses.select("meeting", *[F.col(c).alias(f"reply_{c}") for c in ("id", "title", "speaker_name", "clause")])
+    their titles are equal. digest_clauses: meeting, id, title, speaker_name, and the columns that
+    both sides bring along as ``policy_`` and ``reply_`` columns."""
+    a = digest_clauses.select("meeting", *[F.col(c).alias(f"policy_{c}") for c in ("id", "title", "speaker_name", *carried)])
+    b = digest_clauses.select("meeting", *[F.col(c).alias(f"reply_{c}") for c in ("id", "title", "speaker_name", *carried)])
     same = F.col("policy_title").eqNullSafe(F.col("reply_title"))
     return (
         split_join(a, b, ["meeting"])
@@ -260,17 +261,23 @@ def speaker_pair_relation(digest_clauses: DataFrame) -> DataFrame:
             "meeting",
             "policy_id",
             F.col("policy_speaker_name").alias("policy_speaker"),
-            "policy_clause",
+            *[f"policy_{c}" for c in carried],
             "reply_id",
             F.col("reply_speaker_name").alias("reply_speaker"),
-            "reply_clause",
+            *[f"reply_{c}" for c in carried],
             same.cast("long").alias("label"),
         )
     )
 
 
-def pair_similarity(pairs: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
-    """Cosine of the policy and the reply vector for each row of the pair relation."""
+def pair_similarity(pairs: DataFrame, vectors: DataFrame | None = None, dim: int | None = None) -> DataFrame:
+    """Cosine of the policy and the reply vector for each row of the pair relation. Without ``vectors``
+    the pairs bring along their ``policy_vec``, ``policy_norm``, ``reply_vec`` and ``reply_norm``, and
+    none of them is shuffled."""
+    if vectors is None:
+        own = {f"{role}_{c}": f"{side}_{c}" for role, side in (("policy", "a"), ("reply", "b")) for c in ("vec", "norm")}
+        kept = [c for c in pairs.columns if c not in own]
+        return pairs.withColumnsRenamed(own).select(*kept, pair_cosine(dim).alias("cos_similarity"))
     a = prepared(vectors.withColumnRenamed("id", "policy_id"), "a", dim, False)
     b = prepared(vectors.withColumnRenamed("id", "reply_id"), "b", dim, False)
     both = pairs.join(a, ["meeting", "policy_id"]).join(b, ["meeting", "reply_id"])

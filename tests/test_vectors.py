@@ -179,3 +179,14 @@ def test_cluster_shares(spark):
     sums = [sum(v for r in runs if (v := near(r, c)) >= 0.1) for c in (0, 1)]
     assert set(shares) == {("m", 1, 0), ("m", 2, 0), ("m", 2, 1)} and shares["m", 1, 0] == 1.0
     assert all(math.isclose(shares["m", 2, c], sums[c] / sum(sums)) for c in (0, 1))
+
+
+def test_pairs_that_bring_their_vectors_are_not_joined_again(spark):
+    rows = [("m", 0, "t", "a", "x", [1.0, 0.0]), ("m", 1, "t", "b", "y", [1.0, 1.0]), ("m", 2, "u", "b", "y", [0.0, 0.0]), ("n", 0, "t", "c", "z", [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "meeting string, id long, title string, speaker_name string, clause string, vec array<double>")
+    pairs = O.speaker_pair_relation(df).drop("policy_clause", "reply_clause")
+    joined = O.pair_similarity(pairs, df.select("meeting", "id", "vec"), 2)
+    carried = O.pair_similarity(O.speaker_pair_relation(df.withColumn("norm", V.norm(F.col("vec"), 2)), ("vec", "norm")), dim=2)
+    assert carried.columns == joined.columns
+    assert sorted(carried.collect()) == sorted(joined.collect()) and carried.count() == 2
+    assert carried._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
