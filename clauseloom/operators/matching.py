@@ -141,11 +141,14 @@ def greedy_match(titles: DataFrame, words: DataFrame, n: int = 5) -> DataFrame:
     return _greedy(edges, ["cluster_no", "title_no"], cluster_numbers(used))
 
 
-def greedy_match_by_rank(titles: DataFrame, words: DataFrame) -> DataFrame:
+def greedy_match_by_rank(titles: DataFrame, words: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """Ranks in order: per title, the first free cluster whose word at that rank is in the title.
 
-    ``cluster_no`` is the clusters' (shuffled) order. An edge counts at its lowest rank only: if it
-    fails there, one end is taken and stays taken."""
-    edges = word_hits(titles, words).groupBy("meeting", "cluster_no", "title_no").agg(F.min(F.struct("rank", "word")).alias("w"))
+    ``cluster_no`` is the clusters' (shuffled) order: a column of the words, or of ``order`` (meeting,
+    cluster, cluster_no), which meets the edges, far fewer than words. An edge counts at its lowest rank
+    only: if it fails there, one end is taken and stays taken."""
+    cluster = "cluster_no" if order is None else "cluster"
+    edges = word_hits(titles, words).groupBy("meeting", cluster, "title_no").agg(F.min(F.struct("rank", "word")).alias("w"))
+    edges = edges if order is None else edges.join(order, ["meeting", "cluster"])
     edges = edges.select("meeting", "cluster_no", "title_no", "w.rank", "w.word")
-    return _greedy(edges, ["rank", "title_no", "cluster_no"], cluster_numbers(words))
+    return _greedy(edges, ["rank", "title_no", "cluster_no"], cluster_numbers(words if order is None else order))

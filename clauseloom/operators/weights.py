@@ -99,6 +99,7 @@ def doc_representation(bag: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 def smooth_l2_tfidf(bag: DataFrame, n_docs: DataFrame) -> DataFrame:
     """Count times (ln(N / df) + 1), each document scaled to length 1."""
+    bag = cut_lineage(bag)
     idf = document_frequency(bag).join(n_docs, "meeting").select("meeting", "word", (F.ln(F.col("n_docs") / F.col("df")) + 1).alias("idf"))
     weights = bag.join(idf, ["meeting", "word"]).select("meeting", "doc", "word", (F.col("n") * F.col("idf")).alias("weight"))
     return scaled(weights, ["meeting", "doc"], 2, "doc_len" in bag.columns)
@@ -141,15 +142,41 @@ def filter_extremes(bag: DataFrame, n_docs: DataFrame, no_below: int = 1, no_abo
     )
 
 
-def word_ranking(scores: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+#: Words of a key that one task may rank.
+RANKED_WORDS = 200_000
+
+
+def word_ranking(scores: DataFrame, keys: Sequence[str], score: str, bounds: DataFrame | None = None) -> DataFrame:
     """Full ranking 1..V of the words per key, by score descending, then word ascending.
 
+    Usually no key has more than ``RANKED_WORDS``, and a plain window ranks them in one shuffle; the words
+    of larger keys go by cells. ``bounds`` (keys, n), at least the number of words of each key, tells this
+    before the scores are made; without it they are written and counted."""
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc(), "word")).cast("long")
+
+    def crowded(sizes: DataFrame) -> DataFrame:
+        return cut_lineage(sizes.filter(F.col("n") > RANKED_WORDS).select(*keys))
+
+    if bounds is not None and crowded(bounds).isEmpty():
+        return scores.withColumn("rank", plain)
+    rows = cut_lineage(scores)
+    hot = crowded(rows.groupBy(*keys).agg(F.count("*").alias("n")))
+    if hot.isEmpty():
+        return rows.withColumn("rank", plain)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    few, many = (rows.alias("a").join(hot.alias("b"), same, how) for how in ("left_anti", "left_semi"))
+    return few.withColumn("rank", plain).unionByName(_ranked_in_cells(cut_lineage(many), keys, score))
+
+
+def _ranked_in_cells(scores: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """The ranking of keys of any size.
+
     A key's words are cut into cells of similar score, and a cell's words into blocks of one score
     and the first letters. Scores that are all different fill many cells, words that share one
     score many letters, so neither gathers a whole vocabulary in a task."""
     value = F.col(score)
     cell = F.when(value > 0, -F.floor(F.log2(value) * 64)).otherwise(F.lit(2**31))
-    rows = cut_lineage(scores.withColumn("__cell", cell))
+    rows = scores.withColumn("__cell", cell)
     inside = row_index(rows, [*keys, "__cell"], [-value, F.substring("word", 1, 2)], ["word"], "rank")
     before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy(*keys, "__cell").agg(F.count("*").alias("n_in"))

@@ -58,7 +58,9 @@ def topic_words(spark, sf):
         rows = clauses(spark, sf).filter(F.col("speaker_name") == "assistant").withColumnRenamed("label", "cluster")
         tokens = X.drop_tokens(X.tokenize(F.col("utterance")), MIN_LEN)
         weights = WQ.rounded(W.cluster_tfidf(rows, tokens), "weight")
-        return W.word_ranking(weights, ["meeting", "cluster"], "weight")
+        # A word has two characters or more.
+        most = rows.groupBy("meeting", "cluster").agg((F.sum(F.length("utterance")) / 2).alias("n"))
+        return W.word_ranking(weights, ["meeting", "cluster"], "weight", most)
 
     return staged(spark, sf, "topic_words", build)
 
@@ -127,16 +129,17 @@ def numbered_titles(spark, sf):
     return row_index(titles(spark, sf), ["meeting"], D.block_of("title_id"), ["title_id"], "title_no")
 
 
-def numbered_words(spark, sf, shuffled=False):
+def numbered_words(spark, sf):
     words = topic_words(spark, sf)
-    present = D.distinct_values(words, ["meeting"], "cluster")
-    if shuffled:
-        order = S.seeded_shuffle(present, ["meeting"], "cluster", DQ.SEED).withColumnRenamed("place", "cluster_no")
-    else:
-        order = row_index(present, ["meeting"], D.block_of("cluster"), ["cluster"], "cluster_no")
+    order = row_index(D.distinct_values(words, ["meeting"], "cluster"), ["meeting"], D.block_of("cluster"), ["cluster"], "cluster_no")
     return words.join(order, ["meeting", "cluster"]).select("meeting", "cluster_no", "rank", "word")
 
 
+def shuffled_clusters(spark, sf):
+    present = D.distinct_values(topic_words(spark, sf), ["meeting"], "cluster")
+    return S.seeded_shuffle(present, ["meeting"], "cluster", DQ.SEED).withColumnRenamed("place", "cluster_no")
+
+
 def greedy_sql(edges: str, order: str) -> str:
     """Walk each meeting's edges in order, keeping lists of the clusters and titles taken."""
     return f"""
@@ -173,7 +176,8 @@ def greedy_match(spark, sf):
     "cluster_order",
 )
 def greedy_match_by_rank(spark, sf):
-    return M.greedy_match_by_rank(numbered_titles(spark, sf).select("meeting", "title_no", "title"), numbered_words(spark, sf, True))
+    words = topic_words(spark, sf).select("meeting", "cluster", "rank", "word")
+    return M.greedy_match_by_rank(numbered_titles(spark, sf).select("meeting", "title_no", "title"), words, shuffled_clusters(spark, sf))
 
 
 @query(

@@ -73,3 +73,12 @@ def test_summary_hits_count_every_reply_row(spark):
     pairs = spark.createDataFrame([("m", "ab cd", "q", "r"), ("m", "ab cd", "q", "r"), ("n", "zz", "q", "r")], "meeting string, short_summary string, questioner string, respondent string")
     scores = spark.createDataFrame([("m", 0, "q", "r", w, s) for w, s in (("ab", 0.9), ("cd", 0.8), ("no", 0.7))], "meeting string, discussion long, questioner string, respondent string, word string, ratio double")
     assert rows(M.pair_summary_hits(pairs, scores), "meeting", "hits") == [("m", 4), ("n", 0)]
+
+
+def test_order_may_meet_the_edges(spark):
+    titles = spark.createDataFrame([("m", 1, "tax law"), ("m", 2, "park tax"), ("m", 3, "road")], "meeting string, title_no long, title string")
+    words = spark.createDataFrame([("m", 7, 1, "tax"), ("m", 7, 2, "road"), ("m", 8, 1, "tax"), ("m", 8, 2, "park"), ("m", 9, 1, "law")], "meeting string, cluster long, rank long, word string")
+    order = spark.createDataFrame([("m", 9, 1), ("m", 8, 2), ("m", 7, 3)], "meeting string, cluster long, cluster_no long")
+    joined = M.greedy_match_by_rank(titles, words.join(order, ["meeting", "cluster"]).drop("cluster"))
+    late = M.greedy_match_by_rank(titles, words, order)
+    assert sorted(late.collect()) == sorted(joined.collect()) and late.count() == 3

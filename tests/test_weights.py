@@ -114,3 +114,21 @@ def test_texts_are_tokenized_once(spark):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all(") == 1 and "translate(" not in plan
         assert sorted(r["word"] for r in made.collect()) == ["park", "水道"]
+
+
+@pytest.mark.parametrize("most, one", [(200_000, True), (250, False)])
+def test_ranking_takes_one_window_unless_a_key_is_large(spark, monkeypatch, most, one):
+    monkeypatch.setattr(W, "RANKED_WORDS", most)
+    scores = [(m, f"w{i:03d}", [0.5, 0.25, 0.25, 0.0, -1.0, 1e-9 * i][i % 6]) for m, n in (("m", 300), ("n", 200)) for i in range(n)]
+    made = W.word_ranking(spark.createDataFrame(scores, "meeting string, word string, s double"), ["meeting"], "s")
+    plain = {m: sorted((r for r in scores if r[0] == m), key=lambda r: (-r[2], r[1])) for m in "mn"}
+    assert {(r["meeting"], r["word"]): r["rank"] for r in made.collect()} == {r[:2]: i for rows in plain.values() for i, r in enumerate(rows, 1)}
+    assert (made._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1) == one
+
+
+def test_bounds_spare_the_scores_a_table_of_their_own(spark, monkeypatch):
+    df = spark.createDataFrame([("m", "a", 1.0), ("m", "b", 2.0)], "meeting string, word string, s double")
+    written = []
+    monkeypatch.setattr(W, "cut_lineage", lambda x: written.append(x.columns) or x)
+    made = W.word_ranking(df, ["meeting"], "s", df.groupBy("meeting").agg(F.count("*").alias("n")))
+    assert written == [["meeting"]] and {(r["word"], r["rank"]) for r in made.collect()} == {("b", 1), ("a", 2)}
