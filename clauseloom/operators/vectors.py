@@ -48,9 +48,15 @@ def dedupe_text(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("meeting", "cluster", "utterance").agg(F.min("id").alias("id"))
 
 
-def mean_vector(rows: DataFrame, keys: Sequence[str], divisor: int | None = None) -> DataFrame:
+def mean_vector(rows: DataFrame, keys: Sequence[str], divisor: int | None = None, dim: int | None = None) -> DataFrame:
     """Element-wise mean of ``vec`` per key, or the sum over a fixed divisor. Sums are per position
-    and combined before the shuffle, so a key costs one row per position and task."""
+    and combined before the shuffle, so a key costs one row per position and task; with ``dim``, the
+    length of all vectors, one row per task."""
+    if dim is not None:
+        whole = rows.filter("vec is not null").withColumn("vec", F.when(F.size("vec") == dim, F.col("vec")).otherwise(F.raise_error(F.lit(f"a vector without exactly {dim} numbers")).cast("array<double>")))
+        sums = [(F.avg if divisor is None else F.sum)(F.col("vec")[i]).alias(f"__x{i}") for i in range(dim)]
+        mean = [F.col(f"__x{i}") if divisor is None else F.col(f"__x{i}") / divisor for i in range(dim)]
+        return whole.groupBy(*keys).agg(*sums).select(*keys, F.array(*mean).alias("vec"))
     total = F.avg("x") if divisor is None else F.sum("x") / divisor
     cells = rows.select(*keys, F.posexplode("vec").alias("pos", "x")).groupBy(*keys, "pos").agg(total.alias("x"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"])
@@ -237,14 +243,15 @@ def nearest_same_speaker(digest_clauses: DataFrame, clauses: DataFrame, digits:
     return digest_clauses.select("meeting", "id", "speaker_name").join(found, [*where, "id"], "left").select("meeting", "id", "speaker_name", "near_id", "cos_similarity")
 
 
-def topk_mean_vector(digest_clauses: DataFrame, clauses: DataFrame, n: int = 3, divide_by: str = "n", digits: int | None = None) -> DataFrame:
+def topk_mean_vector(digest_clauses: DataFrame, clauses: DataFrame, n: int = 3, divide_by: str = "n", digits: int | None = None, dim: int | None = None) -> DataFrame:
     """Mean of the same speaker's n most similar vectors, which are joined to the best pairs alone.
-    ``divide_by='n'`` divides by n even where fewer exist, ``'count'`` by their number."""
+    ``divide_by='n'`` divides by n even where fewer exist, ``'count'`` by their number. ``dim``: the
+    length of all vectors, if it is known."""
     where = ["meeting", "speaker_name"]
     near = clauses.withColumnRenamed("id", "near_id")
     best = nearest_by_metric(digest_clauses, near, where, "id", "near_id", n, METRICS[:1], digits)
     full = best.join(near.select(*where, "near_id", "vec"), [*where, "near_id"]).select("meeting", "id", "vec")
-    return mean_vector(full, ["meeting", "id"], n if divide_by == "n" else None)
+    return mean_vector(full, ["meeting", "id"], n if divide_by == "n" else None, dim)
 
 
 def speaker_pair_relation(digest_clauses: DataFrame, carried: Sequence[str] = ("clause",)) -> DataFrame:

@@ -190,3 +190,13 @@ def test_pairs_that_bring_their_vectors_are_not_joined_again(spark):
     assert carried.columns == joined.columns
     assert sorted(carried.collect()) == sorted(joined.collect()) and carried.count() == 2
     assert carried._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_mean_of_vectors_of_known_length(spark):
+    df = spark.createDataFrame([("m", 1, [1.0, 2.0]), ("m", 1, [3.0, None]), ("m", 2, None), ("m", 3, [None, 1.0]), (None, 4, [1.0, 1.0])], "meeting string, id int, vec array<double>")
+    for divisor in (None, 3):
+        known, plain = (O.mean_vector(df, ["meeting", "id"], divisor, dim) for dim in (2, None))
+        assert rows(known, "meeting", "id", "vec") == rows(plain, "meeting", "id", "vec")
+        assert "Generate" not in known._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="without exactly 3"):
+        O.mean_vector(df, ["meeting", "id"], None, 3).collect()
