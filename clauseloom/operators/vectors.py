@@ -72,7 +72,7 @@ def cosine_to_centroid(clustered: DataFrame, vectors: DataFrame, dim: int | None
     """Distinct clauses of each cluster with their cosine to the cluster's centroid."""
     # Finding the distinct texts shuffles them, so it is done once.
     members = cut_lineage(vectors_by_id(dedupe_text(clustered), vectors))
-    middle = mean_vector(members, ["meeting", "cluster"]).withColumnRenamed("vec", "com")
+    middle = mean_vector(members, ["meeting", "cluster"], dim=dim).withColumnRenamed("vec", "com")
     score = V.cosine_similarity(F.col("vec"), F.col("com"), dim)
     return members.join(middle, ["meeting", "cluster"]).select(
         "meeting", "id", "cluster", "utterance", score.alias("cos_similarity_to_com")
@@ -84,7 +84,8 @@ def above_cluster_mean(central: DataFrame, digits: int | None = None) -> DataFra
 
     The sum of a mean depends on the order of its terms in the last bits; ``digits`` rounds both
     sides of the comparison so that a repeated run decides alike."""
-    with_mean = with_totals(central, ["meeting", "cluster"], {"mean": F.avg("cos_similarity_to_com")})
+    # Written, so that cosines are made once for the means and the rows.
+    with_mean = with_totals(cut_lineage(central), ["meeting", "cluster"], {"mean": F.avg("cos_similarity_to_com")})
     score, mean = F.col("cos_similarity_to_com"), F.col("mean")
     if digits is not None:
         score, mean = F.round(score, digits), F.round(mean, digits)

@@ -17,6 +17,7 @@ from clauseloom.plans.relations import DIM, clauses
 from clauseloom.plans.text import tokens_sql
 from clauseloom.plans.vectorial import clause_vectors, cos_sql
 from clauseloom.plans.weighting import rounded
+from clauseloom.session import cut_lineage
 
 part(
     "flow_members",
@@ -79,7 +80,8 @@ def topic_words_vs_titles(spark, sf):
     rows = clauses(spark, sf).filter(F.col("speaker_name") == "assistant").withColumnRenamed("label", "cluster")
     vectors = clause_vectors(spark, sf).select("meeting", "id", "vec")
     near = O.cosine_to_centroid(rows.select("meeting", "id", "cluster", "utterance"), vectors, DIM)
-    kept = O.above_cluster_mean(near.withColumn("cos_similarity_to_com", F.round("cos_similarity_to_com", 6)), 6)
+    # Written, as the number of clusters is counted beside the words.
+    kept = cut_lineage(O.above_cluster_mean(near.withColumn("cos_similarity_to_com", F.round("cos_similarity_to_com", 6)), 6))
     tokens = X.drop_tokens(X.tokenize(F.col("utterance")), MIN_LEN)
     best = M.top_words(rounded(W.cluster_tfidf(kept, tokens), "weight"), 5)
     order = row_index(D.distinct_values(best, ["meeting"], "cluster"), ["meeting"], D.block_of("cluster"), ["cluster"], "cluster_no")

@@ -200,3 +200,14 @@ def test_mean_of_vectors_of_known_length(spark):
         assert "Generate" not in known._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(Exception, match="without exactly 3"):
         O.mean_vector(df, ["meeting", "id"], None, 3).collect()
+
+
+def test_cosines_to_centroids_are_made_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(O, "cut_lineage", lambda df: written.append(df.columns) or df)
+    near = spark.createDataFrame([("m", 1, 7, "a", 0.5), ("m", 2, 7, "b", 0.9), ("m", 3, 8, "c", 1.0)], "meeting string, id int, cluster int, utterance string, cos_similarity_to_com double")
+    assert [r["id"] for r in O.above_cluster_mean(near).collect()] == [2]
+    assert written == [near.columns]
+    members = near.select("meeting", "id", "cluster", "utterance")
+    vectors = spark.createDataFrame([("m", i, [1.0, float(i)]) for i in (1, 2, 3)], "meeting string, id int, vec array<double>")
+    assert "Generate" not in O.cosine_to_centroid(members, vectors, 2)._jdf.queryExecution().optimizedPlan().toString()
