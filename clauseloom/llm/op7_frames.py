@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -46,6 +46,8 @@ CHECKSUMS = 0x80
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -160,13 +162,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, data), in ascending order of ids over and within partitions, nulls first. ``data``:
-    the ids of a whole text and the end id, as little-endian unsigned 32-bit integers."""
-    ship(docs.sparkSession)
-    path = vocabulary or vocabulary_path()
+def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text), in ascending order of ids over and within partitions, nulls first."""
     rows = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), column(docs, text).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+
+
+def encoding(vocabulary: str | None = None, end_id: int = END_ID) -> Batches:
+    """What turns batches of (doc_id, text) into those of (doc_id, data)."""
+    path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
@@ -178,7 +182,14 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
             data = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([batch.column(0), data], ["doc_id", "data"])
 
-    return rows.mapInArrow(run, "doc_id long, data binary")
+    return run
+
+
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, data), in ascending order of ids over and within partitions, nulls first. ``data``:
+    the ids of a whole text and the end id, as little-endian unsigned 32-bit integers."""
+    ship(docs.sparkSession)
+    return in_order(docs, doc_id, text).mapInArrow(encoding(vocabulary, end_id), "doc_id long, data binary")
 
 
 class FrameWriter:
@@ -262,9 +273,10 @@ def _files(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_frames(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write (doc_id, data) rows, in the order they are in, to files in ``folder``. Returns the list
-    of files, itself written: shard, part, path, n_docs, n_bytes (uncompressed), first_id, last_id,
+def write_frames(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES, first: Batches | None = None) -> DataFrame:
+    """Write (doc_id, data) rows, in the order they are in, to files in ``folder``. ``first`` makes
+    them of other rows, in the process that writes them. Returns the list of files, itself written:
+    shard, part, path, n_docs, n_bytes (uncompressed), first_id, last_id,
     base (bytes of all documents in files before it). The files of the list are in order of (shard, part).
     """
     ship(rows.sparkSession)
@@ -283,7 +295,7 @@ def write_frames(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) ->
             ids = [None if i == NO_ID else i for i in (writer.ids[0], writer.ids[-1])]
             listed.append((shard, part, name, len(writer.ids), sum(struct.unpack("<III", e)[1] for e in writer.entries), *ids))
 
-        for batch in batches:
+        for batch in first(batches) if first else batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if writer is not None and writer.size >= file_bytes:
                     end()
@@ -370,5 +382,5 @@ def read_some(files: DataFrame, wanted: DataFrame) -> DataFrame:
 def op7_frames(docs: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32. A null text is empty and has the end id alone; a null id
     comes first; rows that repeat an id follow each other; no rows give no files and no rows."""
-    files = write_frames(encode(docs), new_path(docs.sparkSession, "frames"))
+    files = write_frames(in_order(docs), new_path(docs.sparkSession, "frames"), first=encoding())
     return read_frames(files).select("doc_id", "start", (F.length("data") / 4).cast("long").alias("n_tokens"), F.crc32("data").alias("ids_crc32"))

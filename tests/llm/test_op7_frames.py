@@ -112,3 +112,10 @@ def test_small_files_and_wanted_documents(spark, make_docs, library):
     for r in some:
         assert (r.start, zlib.crc32(bytes(r.data))) == (want[r.doc_id][1], want[r.doc_id][3])
     assert {r.doc_id: r.start for r in Z.read_frames(files).collect()} == {i: w[1] for i, w in want.items()}
+
+
+def test_texts_are_encoded_where_they_are_written(spark, make_docs):
+    docs = make_docs([(i, "word " * i if i % 3 else None) for i in range(40)] + [(None, "a"), (5, "twice")])
+    apart = Z.read_frames(Z.write_frames(Z.encode(docs), new_path(spark, "frames")))
+    writing = Z.read_frames(Z.write_frames(Z.in_order(docs), new_path(spark, "frames"), first=Z.encoding()))
+    assert sorted(map(str, writing.collect())) == sorted(map(str, apart.collect())) and writing.count() == 42
