@@ -20,7 +20,7 @@ from clauseloom.functions import vectors as V
 from clauseloom.operators.blocks import met_in_blocks, similar_pairs
 from clauseloom.operators.dialog import block_of
 from clauseloom.operators.ordered import row_index, running, split_join, top_rows, with_totals
-from clauseloom.session import cut_lineage
+from clauseloom.session import cut_lineage, ship
 
 # Metric names in report order.
 METRICS = ("cos_similarity", "kl_divergence", "chebyshev_distance", "euclidean_distance", "manhattan_distance")
@@ -132,6 +132,54 @@ def title_clause_metrics(titles: DataFrame, clauses: DataFrame, dim: int | None
     )
 
 
+#: Numbers of compared vectors that are held at once.
+COMPARED = 1 << 18
+
+
+def _added(terms: np.ndarray) -> np.ndarray:
+    """The sum over the first axis, one term after the other, so that it is alike in any block."""
+    total = terms[0].copy()
+    for term in terms[1:]:
+        total += term
+    return total
+
+
+def _histograms(flat: pa.Array, vecs: np.ndarray) -> np.ndarray:
+    """``functions.vectors.histogram`` of each row of ``vecs``, whose numbers, with their nulls, are ``flat``."""
+    undefined = np.isnan(vecs) & flat.is_valid().to_numpy(zero_copy_only=False).reshape(vecs.shape)
+    low, high = np.where(np.isnan(vecs), np.inf, vecs).min(axis=1), np.where(np.isnan(vecs), -np.inf, vecs).max(axis=1)
+    constant = low == high
+    with np.errstate(invalid="ignore", over="ignore"):
+        start = np.where(constant, low - 0.5, low)
+        step = (np.where(constant, high + 0.5, high) - start) / V.BINS
+        edge = start[:, None] + step[:, None] * np.arange(V.BINS + 1)
+    inside = vecs[:, None, :] >= edge[:, :-1, None]
+    inside[:, :-1] &= vecs[:, None, :] < edge[:, 1:-1, None]
+    count = inside.sum(axis=2)
+    # Spark takes an undefined number for the greatest: then no bin has edges, and the last has such numbers.
+    odd = undefined.any(axis=1)
+    count[odd] = 0
+    count[odd, -1] = undefined[odd].sum(axis=1)
+    return (count + V.EPSILON) / vecs.shape[1]
+
+
+def _least(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, key) of the n least finite keys of each row; on a tie the first place."""
+    rows = np.arange(len(key))
+    if key.shape[1] <= 64 or n > 8:
+        best = np.argsort(key, axis=1, kind="stable")[:, :n]
+        found = np.take_along_axis(key, best, axis=1)
+    else:
+        key, picked = key.copy(), []
+        for _ in range(n):
+            place = key.argmin(axis=1)
+            picked.append((place, key[rows, place]))
+            key[rows, place] = np.inf
+        best, found = (np.stack(x, axis=1) for x in zip(*picked, strict=True))
+    fits = np.isfinite(found)
+    return np.repeat(rows, best.shape[1])[fits.ravel()], best[fits], found[fits]
+
+
 def nearest_by_metric(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, n: int, metrics: Sequence[str] = METRICS, digits: int | None = None, skip_same: bool = False, from_right: bool = False
 ) -> DataFrame:
@@ -144,43 +192,47 @@ def nearest_by_metric(
     ``skip_same`` leaves out distances of exactly 0; ``from_right`` takes the divergence of the right
     side's histogram from the left one's, instead of the left's from the right's."""
 
+    ship(left.sparkSession)
+
     def side(rows: DataFrame, name: str) -> DataFrame:
-        hist = {"hist": V.histogram(F.col("vec"))} if METRICS[1] in metrics else {}
-        return cut_lineage(rows.filter("vec is not null").select(*keys, F.col(name).cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).withColumns(hist))
+        return cut_lineage(rows.filter("vec is not null").select(*keys, F.col(name).cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")))
 
     def work(one: pa.Table, two: pa.Table) -> dict:
-        def matrix(t: pa.Table, name: str) -> np.ndarray:
-            return np.array(t.column(name).combine_chunks().flatten(), float).reshape(t.num_rows, -1)
-
         two = two.take(pa.array(np.argsort(two.column("id").to_numpy(), kind="stable")))
-        a, b, i, j = matrix(one, "vec"), matrix(two, "vec"), one.column("id").to_numpy(), two.column("id").to_numpy()
+        flat, i, j = [t.column("vec").combine_chunks().flatten() for t in (one, two)], one.column("id").to_numpy(), two.column("id").to_numpy()
+        a, b = (np.array(f, float).reshape(t.num_rows, -1) for f, t in zip(flat, (one, two), strict=True))
+        if METRICS[0] in metrics:
+            norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+            cosine = np.divide(a @ b.T, norms, out=np.full(norms.shape, np.nan), where=norms != 0)
+        if METRICS[1] in metrics:
+            x, y = (np.ascontiguousarray(_histograms(f, v).T) for f, v in zip(flat, (a, b), strict=True))
+        columns_a, columns_b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
         out: list[tuple] = []
-        for at, metric in enumerate(metrics):
-            if metric == METRICS[0]:
-                norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
-                value = np.divide(a @ b.T, norms, out=np.full(norms.shape, np.nan), where=norms != 0)
-            elif metric == METRICS[1]:
-                x, y = matrix(one, "hist"), matrix(two, "hist")
-                p, q = (y[None], x[:, None]) if from_right else (x[:, None], y[None])
-                value = sum(p[..., k] * np.log(p[..., k] / q[..., k]) for k in range(x.shape[1]))
-            else:
-                value = np.zeros((len(a), len(b)))
-                for k in range(a.shape[1]):
-                    apart = np.abs(np.subtract.outer(a[:, k], b[:, k]))
-                    value = np.maximum(value, apart) if metric == METRICS[2] else value + (apart**2 if metric == METRICS[3] else apart)
-                value = np.sqrt(value) if metric == METRICS[3] else value
-            value = value if digits is None else np.round(value, digits)
-            key = np.where(np.isnan(value), np.finfo(float).max, -value if metric == METRICS[0] else value)
-            if skip_same and metric != METRICS[0]:
-                key[value == 0] = np.inf
-            best = np.argsort(key, axis=1, kind="stable")[:, :n]
-            row = np.repeat(np.arange(len(a)), best.shape[1])
-            best = best.ravel()
-            fits = np.isfinite(key[row, best])
-            row, best = row[fits], best[fits]
-            out.append((i[row], np.full(len(row), at, np.int32), j[best], value[row, best], key[row, best]))
-        flat = [np.concatenate([o[k] for o in out]) for k in range(5)]
-        return {"l": flat[0], "at": flat[1], "r": flat[2], "value": pa.array(flat[3], mask=np.isnan(flat[3])), "sort_key": flat[4]}
+        step = max(1, COMPARED // max(1, b.size))
+        for lo in range(0, len(a), step):
+            part = slice(lo, lo + step)
+            if any(m in metrics for m in METRICS[2:]):
+                apart = columns_a[:, part, None] - columns_b[:, None, :]
+                np.abs(apart, out=apart)
+            for at, metric in enumerate(metrics):
+                if metric == METRICS[0]:
+                    value = cosine[part]
+                elif metric == METRICS[1]:
+                    p, q = x[:, part, None], y[:, None, :]
+                    p, q = (q, p) if from_right else (p, q)
+                    value = _added(p * np.log(p / q))
+                elif metric == METRICS[2]:
+                    value = apart.max(axis=0)
+                else:
+                    value = np.sqrt(_added(apart**2)) if metric == METRICS[3] else _added(apart)
+                value = value if digits is None else np.round(value, digits)
+                key = np.where(np.isnan(value), np.finfo(float).max, -value if metric == METRICS[0] else value)
+                if skip_same and metric != METRICS[0]:
+                    key[value == 0] = np.inf
+                row, best, keys_ = _least(key, n)
+                out.append((i[part][row], np.full(len(row), at, np.int32), j[best], value[row, best], keys_))
+        found = [np.concatenate([o[k] for o in out]) for k in range(5)]
+        return {"l": found[0], "at": found[1], "r": found[2], "value": pa.array(found[3], mask=np.isnan(found[3])), "sort_key": found[4]}
 
     found = met_in_blocks(side(left, left_id), side(right, right_id), keys, "id", work, "l bigint, at int, r bigint, value double, sort_key double")
     best = top_rows(found, [*keys, "l", "at"], [F.col("sort_key"), F.col("r")], n)

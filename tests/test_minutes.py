@@ -202,6 +202,17 @@ def test_clauses_rebuild_their_paragraph(spark):
     assert "".join(parts) == text.replace("！？", "！")
 
 
+def test_clauses_are_cut_without_looking_for_runs(spark):
+    """The same clauses as the pattern of a run and its mark."""
+    odd = ["", None, ".", "..a", "a", "a.", "a..b", "。a。。", "a\n.\r\nb!?", "\U0001f600.\U0001f600", "]^-.", " . "]
+    df = spark.createDataFrame([(s,) for s in odd], "s string")
+    pattern = F.regexp_extract_all("s", F.lit(f"[^{X.CLAUSE_END_WESTERN}]+[{X.CLAUSE_END_WESTERN}]?"), F.lit(0))
+    for row in df.select("s", X.split_clauses(F.col("s"), X.CLAUSE_END_WESTERN).alias("found"), pattern.alias("plain")).collect():
+        assert row["found"] == row["plain"], row["s"]
+
+    assert "regexp_extract_all" not in str(X.split_clauses(F.col("s")))
+
+
 def test_tokens_are_those_of_cleaned_text(spark):
     odd = ["ab[12]cd（ef）gh", "x1@a.5y", "水、道[駅]前ヶー丘アーケード", "ªºß×÷Ÿé @park１２ ＠公園 a1.2b", "１[@x]２。b", "kﬀK", "", None]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(odd)], "i int, s string")

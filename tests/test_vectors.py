@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,23 @@ def test_nearest_by_metric_equals_all_pairs(spark, monkeypatch, block, from_righ
     assert O.nearest_by_metric(dl.limit(0), dr, ["meeting"], "title_id", "clause_id", 3).collect() == []
 
 
+def test_histograms_of_blocks_are_those_of_columns(spark, monkeypatch):
+    """Nulls, undefined and infinite numbers and constants too; no column of them is written or dealt out."""
+    nan, inf = float("nan"), float("inf")
+    vecs = [[0.1, 0.7, 0.3], [2.0, 2.0, 2.0], [None, 1.0, 3.0], [None, None, None], [nan, 1.0, 2.0], [nan, nan, nan], [nan, None, 1.0], [inf, 0.0, 1.0], [-inf, inf, 0.0], [-0.0, 0.0, 0.3]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    want = [r.h for r in df.select("id", V.histogram(F.col("vec")).alias("h")).orderBy("id").collect()]
+    flat = pa.array([x for v in vecs for x in v], pa.float64(), from_pandas=False)
+    assert O._histograms(flat, np.array(flat, float).reshape(len(vecs), -1)).tolist() == want
+
+    def none(vec):
+        raise AssertionError("a histogram column")
+
+    monkeypatch.setattr(V, "histogram", none)
+    named = df.filter("id < 2").select(F.lit("m").alias("meeting"), "id", F.col("id").alias("other"), "vec")
+    assert O.nearest_by_metric(named, named, ["meeting"], "id", "other", 1, O.METRICS[1:2]).count() == 2
+
+
 def test_cluster_shares(spark):
     from clauseloom.operators import topics as P
 
