@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from clauseloom import session
+from clauseloom.operators import topics as P
 
 
 def shuffles(spark):
@@ -41,3 +42,13 @@ def test_a_staged_relation_leaves_only_itself(spark, tmp_path):
     assert session.staged(spark, str(tmp_path), "some", build).count() == 4
     assert not os.path.exists(paths[0]) and kept.count() == 2
     assert session.staged(spark, str(tmp_path), "some", build).count() == 4 and len(paths) == 1
+
+
+def test_topic_shares_are_not_written(spark, monkeypatch):
+    """Of meetings that fit a task only what the model is made of is written: no row holds the shares of a word in a document."""
+    written, cut = [], session.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    docs = spark.createDataFrame([("m", f"d{i % 5}", f"w{i % 9}", 1.0) for i in range(90)], "meeting string, doc string, word string, weight double")
+    words, _ = P.fit_topics(docs, spark.createDataFrame([("m", 3)], "meeting string, k long"), rounds=3)
+    assert words.count() == 27
+    assert written and not any("r" in columns for columns in written)
