@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clauseloom import session
 from clauseloom.operators import topics as P
+from clauseloom.operators import weights as W
 
 
 def shuffles(spark):
@@ -52,3 +53,11 @@ def test_topic_shares_are_not_written(spark, monkeypatch):
     words, _ = P.fit_topics(docs, spark.createDataFrame([("m", 3)], "meeting string, k long"), rounds=3)
     assert words.count() == 27
     assert written and not any("r" in columns for columns in written)
+
+
+def test_runs_of_small_meetings_are_not_written(spark, monkeypatch):
+    written, cut = [], session.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    df = spark.createDataFrame([("m", i, i % 2, ["aa", f"b{i}", "cc", "dd", "ee"]) for i in range(8)], "meeting string, id long, doc long, words array<string>")
+    assert P.cluster_shares(df.select("meeting", "id", "words"), W.bag_of_words(df, F.col("words"))).count() == 16
+    assert written and not any({"start", "dot", "near", "weight"} & set(columns) for columns in written)
