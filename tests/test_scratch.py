@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from clauseloom import session
+from clauseloom.operators import models as K
 from clauseloom.operators import topics as P
 from clauseloom.operators import weights as W
 
@@ -61,3 +62,17 @@ def test_runs_of_small_meetings_are_not_written(spark, monkeypatch):
     df = spark.createDataFrame([("m", i, i % 2, ["aa", f"b{i}", "cc", "dd", "ee"]) for i in range(8)], "meeting string, id long, doc long, words array<string>")
     assert P.cluster_shares(df.select("meeting", "id", "words"), W.bag_of_words(df, F.col("words"))).count() == 16
     assert written and not any({"start", "dot", "near", "weight"} & set(columns) for columns in written)
+
+
+def test_pairs_are_made_once_for_the_classifier(spark):
+    data = [("same" if i % 2 else "other", "test" if i > 30 else "train", [1.0, 0.0], [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(40)]
+    pairs = spark.createDataFrame(data, "column_1 string, part string, u array<double>, v array<double>")
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    predicted, _ = K.pair_classifier(pairs.rdd.map(seen).toDF(pairs.schema))
+    assert {r["part"]: r["accuracy"] for r in K.label_accuracy(predicted).collect()} == {"train": 1.0, "test": 1.0}
+    assert made.value == 40
