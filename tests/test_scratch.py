@@ -76,3 +76,37 @@ def test_pairs_are_made_once_for_the_classifier(spark):
     predicted, _ = K.pair_classifier(pairs.rdd.map(seen).toDF(pairs.schema))
     assert {r["part"]: r["accuracy"] for r in K.label_accuracy(predicted).collect()} == {"train": 1.0, "test": 1.0}
     assert made.value == 40
+
+
+def test_meetings_of_many_topics_hold_sums_only(spark, monkeypatch):
+    """A meeting too large for a bucket has its rounds in a task of its own, with the results of joins."""
+    rows = [("m", f"d{i % 29}" if i % 50 else None, f"w{i * i % 83 if i % 3 else i % 83}" if i % 41 else None, 1.0 + i % 4) for i in range(900)] + [("n", f"d{i % 40}", f"w{i}", 2.0) for i in range(300)]
+    bag = spark.createDataFrame(rows, "meeting string, doc string, word string, weight double").groupBy("meeting", "doc", "word").agg(F.sum("weight").alias("weight"))
+    k = spark.createDataFrame([("m", 7), ("n", 3)], "meeting string, k long")
+    made = []
+    for cells, own in ((10**6, 0), (0, 10**6), (0, 0)):
+        monkeypatch.setattr(P, "CELLS", cells)
+        monkeypatch.setattr(P, "OWN_ROWS", own, raising=False)
+        joined = P._joined_rounds
+        with monkeypatch.context() as m:
+            m.setattr(P, "_joined_rounds", joined if cells == own else None)
+            words, theta = P.fit_topics(bag, k, rounds=4)
+            words = sorted((r["meeting"], r["topic"], r["word"], round(r["probability"], 10)) for r in words.collect())
+            theta = sorted((r["meeting"], r["doc"], [round(x, 10) for x in r["theta"]]) for r in theta.collect())
+        made.append((words, theta))
+    assert made[0] == made[1] == made[2] and len(made[0][0]) > 1000
+
+
+def test_a_speakers_words_are_cut_once_for_all_titles(spark):
+    said = spark.createDataFrame([("m", i, ("a", "b", "c")[i % 3], f"x{i % 4} y{i}", 0) for i in range(30)], "meeting string, id long, speaker_name string, utterance string, discussion int")
+    pairs = spark.createDataFrame([("m", t, "a", "b") for t in range(6)], "meeting string, title_id long, questioner string, respondent string")
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x.split(" ")
+
+    tokens = F.udf(seen, "array<string>")(F.col("utterance"))
+    words = P.lda_bow(said, pairs, tokens, no_above=1.0, rounds=2)
+    assert words.select("word").distinct().count() == 24 and words.count() == 24 * 6
+    assert made.value <= 30
